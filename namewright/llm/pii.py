@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ready
@@ -293,25 +293,28 @@ def _joined(spans: list[Span]) -> str:
 
 
 def _found(w: dict[str, float]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                base, spans = all_spans(w, text)
-                n = [sum(k == x for k, _, _ in base) for x in KINDS]
-                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, digests, spans = [[] for _ in KINDS], [], []
+            for text in batch.column("text").to_pylist():
+                base, every = all_spans(w, text)
+                for k, n in zip(KINDS, counts, strict=True):
+                    n.append(sum(k == x for x, _, _ in base))
+                digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
+                spans.append(_joined(every))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=NAMES)
 
     return run
 
 
+NAMES = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the fixed patterns, their digest, and all spans, for docs (doc_id, text)."""
     ready(docs.sparkSession)
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return d.mapInPandas(_found(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return d.mapInArrow(_found(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(w: dict[str, float], text: str | None) -> str | None:
@@ -331,9 +334,9 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     w = train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["text"] = [masked(w, t) for t in pdf["text"]]
-            yield pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array([masked(w, t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
