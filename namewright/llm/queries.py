@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup
 from .common import table
+from .embedding_dedup import near_vectors
 from .html_text import extract
 from .near_dedup import near_dedup
 from .packing import pack
 from .pii import find_pii
 from .quality import classify
 from .sentencepiece_codec import encode_decode
+from .substring_dedup import find_repeats
 from .topk import top_k
 
 
@@ -34,6 +36,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -50,15 +56,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_pii": op7_pii,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
