@@ -23,12 +23,14 @@ def cascade(queries: DataFrame, taxa: DataFrame, top: int = TOP) -> DataFrame:
         sound = F.concat_ws(" ", sound_key(F.get(word, F.lit(0))), sound_key(F.get(word, F.lit(1)), True))
         return df.withColumn("keys", F.array(F.lower("name"), letters_key(F.col("name")), sound))
 
+    # a query has one key a stage, so the best of a key are the best of the query: taxa are cut to them before the join
+    best = Window.partitionBy("stage", "key").orderBy(F.desc("priority"), "id")
     q = keys(queries).select("qid", F.posexplode("keys").alias("stage", "key")).where("key <> ''")
     t = keys(taxa).select("id", "priority", F.posexplode("keys").alias("stage", "key")).where("key <> ''")
+    t = t.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top)
     hits = q.join(t, ["stage", "key"])
-    first = hits.groupBy("qid").agg(F.min("stage").alias("stage"))
-    best = Window.partitionBy("qid").orderBy(F.desc("priority"), "id")
-    kept = hits.join(first, ["qid", "stage"]).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top)
+    first = Window.partitionBy("qid")
+    kept = hits.withColumn("first", F.min("stage").over(first)).where(F.col("stage") == F.col("first"))
     return kept.select("qid", F.element_at(F.array(*map(F.lit, STAGES)), F.col("stage") + 1).alias("match_type"), "id", "rn")
 
 
