@@ -5,9 +5,10 @@ A SetSketch register is the minimum of exponential hash values of a set's elemen
 the Jaccard similarity. Bands of registers are the bucket keys; pairs that meet are scored by the joint likelihood of
 their registers, and those that the likelihood-ratio test cannot rule out are confirmed on their full shingle sets.
 
-Texts with equal sets form one node first, so copies cost a hash. Nodes of a bucket are compared with one leader of
-another component at a time: components merge, and only pairs of nodes that are still in different components are
-compared further, until none is left. No group's pairs are all emitted while one comparison with a leader settles them.
+Texts with equal sets form one node first, so copies cost a hash. Buckets of at most SMALL nodes emit their pairs. In a
+larger one every node is compared with a leader of another component, twice; components merge, and only pairs of nodes
+that are still in different components meet after that, in a join whose condition drops those whose set sizes or
+differing registers rule a link out. No group's pairs are all emitted while comparisons with leaders settle them.
 
 Defined results: null or wordless texts have an empty set and link with nothing; equal texts link; rows that repeat an
 id count as one row of the result each, and take the component of their text; a null id links with nothing and is kept.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, ready, released, shingle_ids, stored
@@ -29,6 +30,8 @@ from .common import components, ready, released, shingle_ids, stored
 BASE, RATE, TOP = 1.12, 20.0, 254
 #: A pair is ruled out if its likelihood at the threshold is below e^-18 of its best.
 RULED_OUT = 18.0
+#: Nodes of a bucket that emits all its pairs; rounds of leaders for larger ones; deviations that a pair may differ by.
+SMALL, LEADER_ROUNDS, DEVIATIONS = 6, 2, 5.5
 
 
 def _family(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +82,15 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
 def _sketches(k: int, m: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, key, regs = [], [], []
+            n, key, regs, words = [], [], [], []
             for text in pdf["text"]:
                 ids = shingle_ids(text, k)
                 n.append(len(ids))
                 key.append(xxhash.xxh3_128_digest(ids.tobytes()) if len(ids) else None)
-                regs.append(registers(ids, m).tobytes() if len(ids) else None)
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "sketch": regs})
+                r = registers(ids, m) if len(ids) else None
+                regs.append(None if r is None else r.tobytes())
+                words.append(None if r is None else r.view(np.int64))
+            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "sketch": regs, "words": words})
 
     return run
 
@@ -130,23 +135,39 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
-def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 5, leader_rounds: int = 4) -> DataFrame:
+def alike(words: int, num: int, den: int) -> Column:
+    """Whether rows x and y (n, words: registers as longs) may link: by set sizes, and by how many registers differ.
+
+    Registers of a linked pair differ with probability 1 - num / den at most; DEVIATIONS standard deviations are allowed.
+    """
+    differ = F.lit(0)
+    for i in range(words):
+        d = F.get("x.words", F.lit(i)).bitwiseXOR(F.get("y.words", F.lit(i)))
+        for by in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, by))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    t, m = num / den, words * 8
+    most = int(m * (1 - t) + DEVIATIONS * (m * t * (1 - t)) ** 0.5) + 1
+    return (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (differ <= most)
+
+
+def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 5) -> DataFrame:
     """id, n (set size), component (smallest id reachable by links, itself included) for docs (id: long, text: string).
 
     Texts link if den * |A and B| >= num * |A or B| on their sets of k-word shingles. With 32 bands of 5 registers a
-    pair at similarity 0.8 misses every band with probability below 4e-6.
+    pair at similarity 0.8 misses every band with probability below 4e-6. bands * rows is a multiple of 8.
     """
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    all_docs = stored(docs.mapInPandas(_sketches(k, bands * rows), "id long, n long, key binary, sketch binary"), "sketches")
+    all_docs = stored(docs.mapInPandas(_sketches(k, bands * rows), "id long, n long, key binary, sketch binary, words array<long>"), "sketches")
     some = all_docs.where("id is not null and key is not null")
-    first = stored(some.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    first = stored(some.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("words").alias("words")), "nodes")
     tokens = stored(first.select("node", "sketch").mapInPandas(_buckets(bands, rows), "bucket long, node long"), "tokens")
-    shared = tokens.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    shared = tokens.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     live = stored(tokens.join(shared, "bucket"), "live")
     released(tokens)
-    sides = first.select("node", "n", "sketch")
+    sides = first.select("node", "n", "sketch", "words")
     ids = live.select("node").distinct()
     texts = stored(docs.join(ids, F.col("id") == F.col("node"), "left_semi"), "texts")
 
@@ -160,42 +181,36 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         links = left.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(_confirm(k, num, den), "hi long, lo long")
         return stored(links, "links")
 
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    turn, sweep = 0, False
-    while True:
-        if labels is None:
-            named = live.withColumn("label", F.col("node"))
-        else:
-            named = live.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    small = live.where(F.col("size") <= SMALL).select("bucket", "node")
+    x, y = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
+    pairs = x.join(y, "bucket").where("a > b").select("a", "b")
+    large = live.where(F.col("size") > SMALL).select("bucket", "node")
+    heads = large.groupBy("bucket").agg(F.min("node").alias("head"))
+    links = verified(pairs.unionByName(large.join(heads, "bucket").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    labels = stored(components(links, "component"), "labels")
+    for turn in range(1, LEADER_ROUNDS + 1):
+        named = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
         low, high = F.col("label") == F.col("lo_label"), F.col("label") == F.col("hi_label")
         ends = named.groupBy("bucket").agg(F.min("label").alias("lo_label"), F.max("label").alias("hi_label")).where("lo_label < hi_label")
         mixed = stored(named.join(ends, "bucket"), "mixed")
         if mixed.isEmpty():
             break
-        if not sweep:
-            # one node of the first and of the last component; each node meets the one that isn't of its own
-            near, far = (F.min, F.max) if turn % 2 == 0 else (F.max, F.min)
-            heads = mixed.groupBy("bucket").agg(near(F.when(low, F.col("node"))).alias("lo_node"), far(F.when(high, F.col("node"))).alias("hi_node"))
+        if turn < LEADER_ROUNDS:
+            # the last node of the first and of the last component; each node meets the one that isn't of its own
+            heads = mixed.groupBy("bucket").agg(F.max(F.when(low, F.col("node"))).alias("lo_node"), F.max(F.when(high, F.col("node"))).alias("hi_node"))
             end = F.when(low, F.col("hi_node")).otherwise(F.col("lo_node"))
             pairs = mixed.join(heads, "bucket").select(F.greatest("node", end).alias("a"), F.least("node", end).alias("b"))
         else:
-            x = mixed.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-            y = mixed.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "bucket").where("a > b and la <> lb").select("a", "b")
+            longs = sides.select("node", "n", "words")
+            full = stored(mixed.select("bucket", "node", "label").join(longs, "node"), "mixed-sides")
+            meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+            pairs = full.alias("x").join(full.alias("y"), meet & alike(bands * rows // 8, num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         new = verified(pairs)
         released(mixed)
-        found = new.count()
-        links = new if links is None else links.unionByName(new)
-        if found:
+        if not new.isEmpty():
+            links = links.unionByName(new)
             labels = stored(components(links, "component"), "labels")
-        if sweep:
-            break
-        turn += 1
-        sweep = not found or turn == leader_rounds
-    nodes = first.select("key", F.col("node").alias("component"))
-    if labels is not None:
-        nodes = first.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    nodes = first.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     known = all_docs.where("id is not null and key is not null").join(nodes, "key", "left").select("id", "n", "component")
     alone = all_docs.where("id is null or key is null").select("id", "n", F.col("id").alias("component"))
     return known.unionByName(alone)
