@@ -6,7 +6,7 @@ the Jaccard similarity. Bands of registers are the bucket keys; pairs that meet
 their registers, and those that the likelihood-ratio test cannot rule out are confirmed on their full shingle sets.
 
 Texts with equal sets form one node first, so copies cost a hash. Buckets of at most SMALL nodes emit their pairs. In a
-larger one every node is compared with a leader of another component, twice; components merge, and only pairs of nodes
+larger one every node is compared with a leader of another component, a few times; components merge, and only pairs of nodes
 that are still in different components meet after that, in a join whose condition drops those whose set sizes or
 differing registers rule a link out. No group's pairs are all emitted while comparisons with leaders settle them.
 
@@ -28,10 +28,10 @@ from .common import components, ready, released, shingle_ids, stored
 
 #: Sketch parameters: base and rate of the register scale, largest register value less one.
 BASE, RATE, TOP = 1.12, 20.0, 254
-#: A pair is ruled out if its likelihood at the threshold is below e^-18 of its best.
-RULED_OUT = 18.0
+#: A pair is ruled out if its likelihood at the threshold is below e^-9 of its best (4.2 deviations: about 1 in 100,000 pairs at the threshold is lost).
+RULED_OUT = 9.0
 #: Nodes of a bucket that emits all its pairs; rounds of leaders for larger ones; deviations that a pair may differ by.
-SMALL, LEADER_ROUNDS, DEVIATIONS = 6, 2, 5.5
+SMALL, LEADER_ROUNDS, DEVIATIONS = 6, 3, 4.25
 
 
 def _family(m: int) -> tuple[np.ndarray, np.ndarray]:
