@@ -87,3 +87,10 @@ def split_flags(x: Column, marks: str = "|,") -> Column:
     """Distinct trimmed upper-case parts."""
     parts = F.transform(F.split(x, f"[{marks}]"), lambda p: F.upper(F.trim(p)))
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def without_author(name: Column, author: Column) -> Column:
+    """The name without the first occurrence of its author."""
+    at = F.instr(name, author)
+    cut = F.trim(F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + F.length(author), F.length(name))))
+    return F.when(at > 0, cut).otherwise(name)

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namewright.functions import names as N
+from namewright.operators.conditions import all_of, any_of, first_reason, match_rule, same_classification
 from namewright.operators.match import above_threshold, cascade, weighted_score
 from namewright.operators.tree import inherited, nested_set, resolved
+from namewright.sources.delimited import last_of_each
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +172,36 @@ def jn_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-07: ids by their aliases."""
     s, p = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return s.join(p, s.s_suppkey * 2 == p.p_partkey, "left").select(F.col("s_suppkey").alias("qid"), F.coalesce("p_partkey", "s_suppkey").alias("id"), F.col("p_name").alias("name"))
+
+
+@query("""SELECT p_partkey, regexp_matches(p_name, '^(?:.*e.*)$', 'i') AND p_size IN (1, 2, 3, 4, 5) OR p_type = 'PROMO' AS matched,
+  CASE WHEN p_type = 'PROMO' THEN 'p_type:PROMO' WHEN p_size IN (1, 2, 3) THEN 'p_size:1,2,3' END AS reason FROM part""")
+def prd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-01, PRD-02, PRD-04, PRD-05, PRD-06."""
+    promo = match_rule(p_type=["PROMO"])
+    rule = any_of([all_of([match_rule(".*e.*", "REGEX", "p_name"), match_rule(p_size=[1, 2, 3, 4, 5])]), promo])
+    return _table(spark, sf_dir, "part").select("p_partkey", rule.test.alias("matched"), first_reason([promo, match_rule(p_size=[1, 2, 3])]).alias("reason"))
+
+
+@query("""SELECT c_custkey, c_name AS name, nullif(c_nationkey, c_custkey) AS accepted FROM customer""")
+def fn_instance_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-30: a row accepted as itself has no accepted row; the author leaves the name."""
+    name, author = F.concat_ws(" ", "c_name", "c_mktsegment"), F.col("c_mktsegment")
+    return _table(spark, sf_dir, "customer").select("c_custkey", N.without_author(name, author).alias("name"), F.nullif(F.col("c_nationkey"), F.col("c_custkey")).alias("accepted"))
+
+
+@query("""SELECT c_custkey, c_mktsegment = 'BUILDING' AND (n_name IS NULL OR c_nationkey = s_nationkey) AS same FROM customer
+  JOIN supplier ON c_custkey = s_suppkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def prd_same_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-14."""
+    c, s, n = (_table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    of_s = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("other"))
+    both = c.join(s, c.c_custkey == s.s_suppkey).join(n, c.c_nationkey == n.n_nationkey, "left").join(of_s, F.col("s_nationkey") == F.col("k"), "left")
+    return both.select("c_custkey", same_classification([(F.lit("building"), F.col("c_mktsegment")), (F.col("n_name"), F.col("other"))]).alias("same"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""")
+def src_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-22: of repeated keys the last row."""
+    o = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").withColumn("n", F.col("o_orderkey"))
+    return last_of_each(o, "o_custkey", "n")

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from namewright.functions import names as N
+from namewright.operators.conditions import all_of, any_of, first_reason, match_rule
 from namewright.operators.tree import nested_set, resolved
 from namewright.plans.queries import QUERIES, SQL
+from namewright.sources.delimited import priorities, read_delimited
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +60,20 @@ def test_nested_set_and_links(spark):
     assert {(r.id, r.left, r.right) for r in nested_set(tree).collect()} == {("a", 2, 8), ("b", 3, 5), ("d", 4, 4), ("c", 7, 7), ("z", 10, 10)}
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5)], "id int, target int")
     assert {(r.id, r.target) for r in resolved(links).collect()} == {(1, 3), (2, 3), (5, None), (6, None)}
+
+
+def test_delimited(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1," Acacia ""x"" "\n2,  \n')
+    df = read_delimited(spark, str(tmp_path / "a.csv"), required=["id"])
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [("1", 'Acacia "x"'), ("2", None)]
+    with pytest.raises(ValueError, match="rank"):
+        read_delimited(spark, str(tmp_path / "a.csv"), required=["rank"])
+    rows = spark.createDataFrame([("a", "2.5"), ("b", "much"), ("c", None)], "key string, value string")
+    assert {tuple(r) for r in priorities(rows).collect()} == {("a", 2.5), ("b", 1.0), ("c", 1.0)}
+
+
+def test_rules(spark):
+    df = spark.createDataFrame([("Acacia  dealbata", "species"), (None, None)], "name string, rank string")
+    rules = [match_rule("acacia DEALBATA", "INSENSITIVE"), match_rule(rank=["species", "genus"]), all_of([]), any_of([])]
+    assert [tuple(r) for r in df.select(*[r.test for r in rules]).collect()] == [(True, True, True, False), (False, False, True, False)]
+    assert [r[0] for r in df.select(first_reason(rules[:2])).collect()] == ["name:acacia DEALBATA", None]
