@@ -8,7 +8,8 @@ A passage may also sit inside a long paragraph whose rest differs, where no para
 also cut into pieces at content-defined anchors: the words whose three-word hash is the smallest of a window of
 WINDOW such hashes. Every stretch of 50 words that two texts share holds a whole piece of both, at the same place of the
 stretch. Pieces that two documents or more hold are joined into runs; a run of at least RUN_WORDS such words is a
-repeated passage.
+repeated passage. Pieces first seen here and pieces of earlier documents never share a run, and no words in between are
+marked, so that only words which an earlier document holds are removed.
 
 Of each cluster or piece, the first document (smallest id, then place) keeps it.
 
@@ -109,18 +110,29 @@ def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5)
     return near.select("doc_id", "start", "n_words", F.col("c").alias("component_id"), "first_doc", ((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))).alias("removed"))
 
 
+def _runs(spans: DataFrame, run_words: int) -> DataFrame:
+    """doc_id, start, n_words, first_doc, removed: the words under spans (doc_id, start, n_words, first_doc), as stretches without gaps.
+
+    Spans that an earlier document holds and those that the document keeps are runs apart; a run's stretches count if it
+    has run_words words under spans.
+    """
+    own = ["doc_id", "removed"]
+    placed = spans.select("doc_id", (F.col("first_doc") < F.col("doc_id")).alias("removed"), F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n_words")).cast("long").alias("end"), "first_doc")
+    order = Window.partitionBy(*own).orderBy("start", "end")
+    placed = placed.withColumn("upto", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.greatest(F.col("end") - F.greatest("start", F.coalesce("upto", "start")), F.lit(0))
+    breaks = lambda gap: F.sum(F.coalesce((F.col("start") > F.col("upto") + gap).cast("int"), F.lit(0))).over(order)
+    placed = placed.withColumn("new", new).withColumn("run", breaks(GAP)).withColumn("stretch", breaks(0))
+    stretches = placed.groupBy(*own, "run", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("new").alias("new"), F.min("first_doc").alias("first_doc"))
+    words = F.sum("new").over(Window.partitionBy(*own, "run"))
+    return stretches.withColumn("words", words).where(F.col("words") >= run_words).select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_words"), "first_doc", "removed")
+
+
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, start, n_words, first_doc, n_removed (words held by an earlier document) for runs of repeated pieces."""
+    """doc_id, start, n_words, first_doc, removed (an earlier document holds all of its words) for stretches of repeated pieces."""
     rows = stored(docs.mapInArrow(_pieces, "doc_id long, start int, n_words int, h1 long, h2 long"), "pieces")
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    seen = rows.join(first, ["h1", "h2"]).drop("h1", "h2")
-    by_doc = Window.partitionBy("doc_id").orderBy("start")  # a document's own pieces
-    end = F.col("start") + F.col("n_words")
-    fresh = (F.col("start") > F.lag(end).over(by_doc) + GAP).cast("int")
-    runs = seen.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("run", F.sum("fresh").over(by_doc)).groupBy("doc_id", "run")
-    later = F.when(F.col("first_doc") != F.col("doc_id"), F.col("n_words")).otherwise(0)
-    out = runs.agg(F.min("start").cast("long").alias("start"), F.max(end).alias("end"), F.sum("n_words").alias("seen"), F.min("first_doc").alias("first_doc"), F.sum(later).alias("n_removed"))
-    return out.where(F.col("seen") >= run_words).select("doc_id", "start", (F.col("end") - F.col("start")).cast("long").alias("n_words"), "first_doc", F.col("n_removed").cast("long").alias("n_removed"))
+    return _runs(rows.join(first, ["h1", "h2"]).drop("h1", "h2"), run_words)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -128,7 +140,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     a = similar_paragraphs(docs).select("doc_id", F.lit("paragraph").alias("kind"), "start", "n_words", "component_id", "first_doc", "removed")
-    b = repeated_passages(docs).select("doc_id", F.lit("passage").alias("kind"), "start", "n_words", F.col("first_doc").alias("component_id"), "first_doc", (F.col("n_removed") > 0).alias("removed"))
+    b = repeated_passages(docs).select("doc_id", F.lit("passage").alias("kind"), "start", "n_words", F.col("first_doc").alias("component_id"), "first_doc", "removed")
     return a.unionByName(b)
 
 

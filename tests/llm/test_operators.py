@@ -216,6 +216,21 @@ def test_substring_dedup_finds_planted(spark):
     assert kept[1] == rows[0][1] and kept[5] == rows[4][1] and len(kept[2].split()) < 190
 
 
+def test_substring_dedup_keeps_first_copies(spark):
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    run = lambda n: " ".join(word() for _ in range(n))
+    rows, of = [], lambda text: set(text.split())
+    sets = [(3 * n, run(70), run(70)) for n in range(20)]
+    for d, x, y in sets:
+        rows += [(d, f"{run(40)} {x} {run(40)}"), (d + 1, f"{run(30)} {x} {run(d % 4)} {y} {run(30)}"), (d + 2, f"{run(40)} {y} {run(40)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, full = {i: of(t) for i, t in without_repeats(docs).collect()}, {i: of(t) for i, t in rows}
+    for d, x, y in sets:
+        assert kept[d] == full[d] and full[d + 1] - of(x) <= kept[d + 1] and full[d + 2] - of(y) <= kept[d + 2]
+        assert len(kept[d + 1] & of(x)) < 50 and len(kept[d + 2] & of(y)) < 50
+
+
 def test_odd_tables(spark):
     docs = odd_docs(spark)
     assert {(r.doc_id, r.component_id) for r in near_dedup(docs).collect()} == {(1, 1), (2, 2), (3, 3), (None, None), (4, 4), (5, 4), (6, 6)}
