@@ -11,6 +11,11 @@ stretch. Pieces that two documents or more hold are joined into runs; a run of a
 repeated passage. Pieces first seen here and pieces of earlier documents never share a run, and no words in between are
 marked, so that only words which an earlier document holds are removed.
 
+Whole pieces may add up to few words of a passage of just over 50. So each piece also has the hash of the RUN_WORDS words
+from its start on. A shared stretch of WINDOW - 1 + RUN_WORDS = 44 words or more has its first anchor among its first
+WINDOW words and thus holds such a sequence whole, of which the piece is the beginning: repeated sequences are looked for
+among repeated pieces only, and none is missed. The edges of a passage outside its anchors (up to 19 words a side) stay.
+
 Of each cluster or piece, the first document (smallest id, then place) keeps it.
 
 Defined results: null or wordless texts and documents without id have no rows; repeated rows of an id are one document
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, stored
+from .common import ready, released, stored
 from .near_dedup import near_components
 
 #: Words of a paragraph, and of a passage's repeated pieces; anchor window; words that a run may skip.
@@ -46,8 +51,8 @@ def paragraphs(text: str, least: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and two hashes of the pieces between anchors that tile a text's words."""
+def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and two hashes of the pieces between anchors that tile a text's words; hash of RUN_WORDS words from each start, and whether the text has so many."""
     n = len(words)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     with np.errstate(over="ignore"):
@@ -69,7 +74,12 @@ def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nda
             x *= np.uint64(add)
             x ^= x >> np.uint64(32)
             out.append((np.add.reduceat(x, start) + length.astype(np.uint64)).view(np.int64))
-    return start, length, out[0], out[1]
+        whole = start + RUN_WORDS <= n
+        x = (h[np.minimum(start[:, None] + np.arange(RUN_WORDS), n - 1)] ^ (np.arange(RUN_WORDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(32)
+    return start, length, out[0], out[1], x.sum(axis=1, dtype=np.uint64).view(np.int64), whole
 
 
 def _paragraphs(least: int):
@@ -85,7 +95,7 @@ def _paragraphs(least: int):
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
             if words:
@@ -94,7 +104,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     c.append(x)
         if cols[0]:
             flat = [np.concatenate(c) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3]), pa.array(flat[4])], names=["doc_id", "start", "n_words", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3]), pa.array(flat[4]), pa.array(flat[5], mask=~flat[6])], names=["doc_id", "start", "n_words", "h1", "h2", "g"])
 
 
 def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5) -> DataFrame:
@@ -103,6 +113,7 @@ def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5)
     rows = stored(rows.withColumn("id", F.monotonically_increasing_id()), "paragraphs")  # written once, so ids stay
     found = near_components(rows.select("id", "text"), k, 80, 100, BANDS, ROWS).select("id", F.col("component").alias("c"))
     placed = stored(rows.select("id", "doc_id", "start", "n_words").join(found, "id").drop("id"), "placed")
+    released(rows)
     first = placed.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = placed.join(first, "c")
     at = near.where("doc_id = first_doc").groupBy("c").agg(F.min("start").alias("first_start"))
@@ -130,9 +141,15 @@ def _runs(spans: DataFrame, run_words: int) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, start, n_words, first_doc, removed (an earlier document holds all of its words) for stretches of repeated pieces."""
-    rows = stored(docs.mapInArrow(_pieces, "doc_id long, start int, n_words int, h1 long, h2 long"), "pieces")
+    rows = stored(docs.mapInArrow(_pieces, "doc_id long, start int, n_words int, h1 long, h2 long, g long"), "pieces")
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    return _runs(rows.join(first, ["h1", "h2"]).drop("h1", "h2"), run_words)
+    seen = stored(rows.join(first, ["h1", "h2"]).drop("h2"), "seen")
+    released(rows)
+    # equal sequences begin with equal pieces, so h1 is part of their key
+    first = seen.where("g is not null").groupBy("h1", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    long = seen.drop("first_doc").join(first, ["h1", "g"]).withColumn("n_words", F.lit(RUN_WORDS))
+    cols = ["doc_id", "start", "n_words", "first_doc"]
+    return _runs(seen.select(cols).unionByName(long.select(cols)), run_words)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:

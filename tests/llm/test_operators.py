@@ -231,6 +231,18 @@ def test_substring_dedup_keeps_first_copies(spark):
         assert len(kept[d + 1] & of(x)) < 50 and len(kept[d + 2] & of(y)) < 50
 
 
+def test_substring_dedup_finds_passages_of_51_to_65_words(spark):
+    r = np.random.default_rng(7)
+    run = lambda n: " ".join(f"v{k}" for k in r.integers(0, 10**9, n))
+    rows = []
+    for n in range(51, 66):
+        for _ in range(40):
+            passage, at = run(n), r.integers(0, 60, 4)
+            rows += [(len(rows), f"{run(at[0])} {passage} {run(at[1])}"), (len(rows) + 1, f"{run(at[2])} {passage} {run(at[3])}")]
+    found = {(x.doc_id, x.removed) for x in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'passage'").collect()}
+    assert found == {(d, d % 2 == 1) for d, _ in rows}
+
+
 def test_odd_tables(spark):
     docs = odd_docs(spark)
     assert {(r.doc_id, r.component_id) for r in near_dedup(docs).collect()} == {(1, 1), (2, 2), (3, 3), (None, None), (4, 4), (5, 4), (6, 6)}
