@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
 
 _ANY_DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[^\s]+")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r'[0-9@"]')
 
 #: The field's types; a segment of type "o" has one token.
 TYPES = ("o", "email", "ip", "card", "phone", "secret")
@@ -107,7 +107,7 @@ def features(tokens: list[str], i: int, j: int, kind: str) -> list[str]:
     seps = "".join(sorted({c for c in s if not c.isalnum()}))[:6]
     out = [
         "bias", f"tokens={j - i}", f"digits={min(len(d), 20)}", f"letters={'none' if not letters else 'few' if letters < len(d) else 'many'}", f"seps={seps}", f"plus={s[:1] == '+'}",
-        f"at={s.count('@')}", f"dots={min(s.count('.'), 4)}", f"hexlong={hexes == len(s) and len(s) >= 24}",
+        f"at={s.count('@')}", f"dots={min(s.count('.'), 4)}", f"hexlong={hexes == len(s) and len(s) >= 24}", f"long={s.isalnum() and len(s) >= 16}",
         f"before={before if before in {'token', 'key', 'secret', 'password', 'tel', 'phone', 'mail', 'email', 'ip', 'card', '=', 'version', 'call'} else '-'}",
     ]
     if 16 <= len(d) <= 19 and not letters:
@@ -122,27 +122,25 @@ def features(tokens: list[str], i: int, j: int, kind: str) -> list[str]:
     return [f"{kind}|{x}" for x in out]
 
 
-def segments(tokens: list[str]) -> list[list[tuple[int, list[tuple[str, list[str]]]]]]:
-    """For each end j: (i, [(type, features)])."""
-    hot = [bool(_TRIGGER.search(t)) for t in tokens]
-    table = []
+def segments(tokens: list[str], lead: int = 0) -> Iterator[list[tuple[int, list[tuple[str, list[str]]]]]]:
+    """For each end j: (i, [(type, features)]). The first lead tokens are outside; one row is held at a time."""
+    hot = [k >= lead and bool(_TRIGGER.search(t)) for k, t in enumerate(tokens)]
     for j in range(1, len(tokens) + 1):
         row = [(j - 1, [("o", features(tokens, j - 1, j, "o"))])]
         for i in range(max(0, j - MAX_TOKENS), j):
             if hot[j - 1] and hot[i]:
                 row.append((i, [(k, features(tokens, i, j, k)) for k in TYPES[1:]]))
-        table.append(row)
-    return table
+        yield row
 
 
 def _score(w: dict[str, float], f: list[str]) -> float:
     return sum(w.get(x, 0.0) for x in f)
 
 
-def best(w: dict[str, float], tokens: list[str]) -> list[tuple[int, int, str]]:
+def best(w: dict[str, float], tokens: list[str], lead: int = 0) -> list[tuple[int, int, str]]:
     """Bounded-entity dynamic programming: the segmentation of the highest score, its entities only."""
     top, back = [0.0], []
-    for j, row in enumerate(segments(tokens), 1):
+    for j, row in enumerate(segments(tokens, lead), 1):
         found = max(((top[i] + _score(w, f), i, k) for i, kinds in row for k, f in kinds), key=lambda x: (x[0], x[2] == "o", x[1]))
         top.append(found[0])
         back.append((found[1], j, found[2]))
@@ -157,7 +155,7 @@ def best(w: dict[str, float], tokens: list[str]) -> list[tuple[int, int, str]]:
 
 def _gradient(w: dict[str, float], tokens: list[str], gold: set[tuple[int, int, str]]) -> dict[str, float]:
     """Of the log-likelihood, by the forward and backward sums over segmentations."""
-    table, n = segments(tokens), len(tokens)
+    table, n = list(segments(tokens)), len(tokens)
     lse = lambda xs: (m := max(xs)) + math.log(sum(math.exp(x - m) for x in xs))
     scored = [[(i, k, f, _score(w, f)) for i, kinds in row for k, f in kinds] for row in table]
     ahead = [0.0]
@@ -202,6 +200,7 @@ def _sentence(r: random.Random) -> tuple[list[str], set[tuple[int, int, str]]]:
                 ("card", card(True)), ("o", card(False)), ("phone", f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}"), ("phone", f"({num(3)}) {num(3)}-{num(4)}"), ("phone", f"+{num(11)}"),
                 ("secret", '"' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))) + '"'), ("o", num(r.randint(1, 15))), ("o", f"{r.randint(0, 20)}.{r.randint(0, 20)}"),
                 ("o", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}"), ("o", f"@{word()}"), ("o", f"{num(3)}-{num(2)}"), ("o", word() + num(2)), ("o", f"{num(2)} {num(3)} {num(2)}"),
+                ("secret", '"' + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(r.randint(16, 40))) + '"'), ("o", f'"{word()}"'), ("o", f'"{word()} {word()}"'), ("o", f'"https://{word()}.org/{word()}/{word()}"'), ("o", f'"{word()}-{word()}-{word()}"'), ("o", f'{word()}="{word()}"'),
             ]
         )
         if kind == "secret" and r.random() < 0.7:
@@ -229,7 +228,7 @@ def train(sentences: int = 700, seed: int = 7, rate: float = 0.3) -> dict[str, f
 
 
 def field_spans(w: dict[str, float], text: str) -> list[Span]:
-    """Entities of the field in a whole text. Runs of tokens near a digit or @ are segmented; all others are outside."""
+    """Entities of the field in a whole text. Runs of tokens with a digit, @ or quotation mark are segmented; all others are outside."""
     spots = [m.start() for m in _TRIGGER.finditer(text)]
     if not spots:
         return []
@@ -257,15 +256,14 @@ def field_spans(w: dict[str, float], text: str) -> list[Span]:
         if lead == ["="] and len(before) > 1:
             lead = before[-2:-1]  # the name that a value is given to
         tokens = lead + [text[x:y] for x, y in run]
-        for i, j, k in best(w, tokens):
-            if i >= len(lead):
-                x, y = trimmed(text, run[i - len(lead)][0], run[j - 1 - len(lead)][1], k)
-                if y > x:
-                    out.append((k, x, y))
+        for i, j, k in best(w, tokens, len(lead)):
+            x, y = trimmed(text, run[i - len(lead)][0], run[j - 1 - len(lead)][1], k)
+            if y > x:
+                out.append((k, x, y))
 
     for a, b in hot:
-        # further than a few tokens nothing joins; long runs are cut where no segment can reach over
-        if run and (text[run[-1][1] : a].strip() or len(run) >= 400):
+        # a token without trigger ends a run; runs are scored whole, however long
+        if run and text[run[-1][1] : a].strip():
             flush()
             run = []
         run.append((a, b))

@@ -178,6 +178,16 @@ def test_pii_base_equals_patterns(spark):
         assert base_spans(text) == plain_spans(text), text
 
 
+def test_pii_runs_of_any_length(spark):
+    phones = [f"({200 + k % 700}) 555-{1000 + k}" for k in range(700)]
+    secret = "QmXvTzKpWrYhLdNcBgJsFaEu"
+    rows = [(lead, "7 " * lead + " ".join(phones)) for lead in range(3)] + [(3, f'the key = "{secret}" is no word, as "this one" is')]
+    got = {r.doc_id: r.text for r in mask_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for lead in range(3):
+        assert got[lead] == "7 " * lead + " ".join(["<PHONE>"] * len(phones))
+    assert secret not in got[3] and got[3].endswith('is no word, as "this one" is')
+
+
 def test_top_k_equals_brute_force(spark):
     rows = sorted((r[0], np.floor(256 * np.asarray(r[1], float)).astype(np.int64)) for r in read("embeddings"))
     want = set()
