@@ -30,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without boilerplate lines that another document keeps."""
-    return _sized(dedup_lines(docs).select(docs.columns))
+    """All documents, without boilerplate lines of any length that another document keeps."""
+    return _sized(dedup_lines(docs, min_words=1).select(docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ once. Hot lines are partial sums before they are shuffled, and joins on them are
 execution splits.
 
 Defined results: a null text stays null with no lines; lines are those between line feeds, so an empty text has one
-empty line; lines of fewer than min_words words are never boilerplate; null sites count as one site of their own;
+empty line; lines of fewer than min_words words are never boilerplate, nor blank ones if min_words is 1; null sites count as one site of their own;
 repeated rows of an id are treated alike, each keeping the lines that its id keeps. A line repeated within its keeping
 document stays there. Rows without id keep all lines.
 """
@@ -35,6 +35,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     """(h1, h2, keeper) of boilerplate lines and (doc_id, pos, h1, h2) of all lines long enough; docs: doc_id, text, site."""
     lines = docs.where("doc_id is not null").select("doc_id", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", line_key(F.col("line")))
     lines = lines.where(F.size(F.split("line", " +", -1)) >= min_words)
+    if min_words < 2:
+        lines = lines.where(F.col("line").rlike(r"\S"))
     lines = lines.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), F.xxhash64(F.coalesce("site", F.lit("\0"))).alias("site"))
     lines = stored(lines, "lines")
     key = ["h1", "h2"]

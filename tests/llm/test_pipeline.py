@@ -21,3 +21,10 @@ def test_stages(spark):
     assert docs.where("start = 0").count() == seen[4]
     good = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{SF}/labels.parquet' WHERE quality = 1").fetchall()}
     assert len(good) > 0
+
+
+def test_line_stage_removes_short_boilerplate(spark):
+    rows = [(k, f"own {k}\n\nAll rights reserved.\nLes.", "en", f"s{k}", 0) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, docs, SF).collect()}
+    assert got == {0: (rows[0][1], len(rows[0][1]))} | {k: (f"own {k}\n", 6) for k in range(1, 6)}
