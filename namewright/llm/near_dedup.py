@@ -28,10 +28,10 @@ from .common import components, ready, released, shingle_ids, stored
 
 #: Sketch parameters: base and rate of the register scale, largest register value less one.
 BASE, RATE, TOP = 1.12, 20.0, 254
-#: A pair is ruled out if its likelihood at the threshold is below e^-9 of its best (4.2 deviations: about 1 in 100,000 pairs at the threshold is lost).
-RULED_OUT = 9.0
+#: A pair is ruled out if its likelihood at the threshold is below e^-18 of its best (6 deviations), so that far fewer pairs at the threshold are lost than by the bands.
+RULED_OUT = 18.0
 #: Nodes of a bucket that emits all its pairs; rounds of leaders for larger ones; deviations that a pair may differ by.
-SMALL, LEADER_ROUNDS, DEVIATIONS = 6, 3, 4.25
+SMALL, LEADER_ROUNDS, DEVIATIONS = 6, 3, 5.5
 
 
 def _family(m: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from namewright.llm import line_dedup, queries
+from namewright.llm import near_dedup as near_dedup_module
 from namewright.llm.common import table
 from namewright.llm.embedding_dedup import near_vectors
 from namewright.llm.html_text import extract
@@ -73,6 +74,18 @@ def test_near_dedup_equals_brute_force(spark, k):
     assert len(got) == len(docs)
 
 
+def test_near_dedup_screens_lose_less_than_bands():
+    from math import comb
+
+    for m in (80, 160):
+        tail = lambda most: sum(comb(m, k) * 0.2**k * 0.8 ** (m - k) for k in range(most + 1, m + 1))  # noqa: B023, E731
+        assert tail(int(m * 0.2 + near_dedup_module.DEVIATIONS * (m * 0.16) ** 0.5) + 1) < 1e-6
+        a, b, n = np.full((m + 1, m), 9, np.uint8), np.tri(m + 1, m, -1, np.uint8) + 9, np.full(m + 1, 1000)
+        b[:, ::2] = np.where(b[:, ::2] > 9, 8, 9)  # k registers differ, up and down in turn
+        passed = near_dedup_module.plausible(a, b, n, n, 0.8)
+        assert tail(int(np.flatnonzero(passed).max())) < 1e-6
+
+
 def test_sentencepiece_round_trip(spark):
     rows = encode_decode(table(spark, SF, "documents")).collect()
     assert all(r.exact for r in rows) and len(rows) == len(read("documents"))
