@@ -16,7 +16,8 @@ def cascade(queries: DataFrame, taxa: DataFrame, top: int = TOP) -> DataFrame:
     """qid, match_type, id, rn for queries (qid, name) and taxa (id, name, priority).
 
     A query keeps the candidates of the first stage that gives any: exact (case aside), canonical (letters only), then
-    sounds-alike on both words. The best come first by priority, then id.
+    sounds-alike on the first two words: names that differ in the third word match by sound too. Phrase and cultivar
+    stages are missing. The best come first by priority, then id.
     """
     def keys(df: DataFrame) -> DataFrame:
         word = F.split(F.trim("name"), " +")

@@ -12,7 +12,7 @@ DEEPEST, STEPS = 1000, 40
 
 
 def levels(nodes: DataFrame) -> list[DataFrame]:
-    """Nodes (id, parent_id) by depth, roots first; nodes that no root reaches are in none."""
+    """Nodes (id, parent_id) by depth, roots (no parent; accepted or not isn't asked) first; nodes that no root reaches are in none."""
     out = [nodes.where("parent_id is null").select("id", "parent_id", F.lit(0).alias("depth"))]
     while len(out) < DEEPEST:
         above = out[-1].select(F.col("id").alias("parent_id"))
@@ -67,7 +67,7 @@ def inherited(nodes: DataFrame, ranks: list[str]) -> DataFrame:
 
 
 def resolved(links: DataFrame, steps: int = STEPS) -> DataFrame:
-    """id, target: the end of each chain of links (id, target), by doubling; null for chains that loop or exceed the steps."""
+    """id, target: the end of each chain of links (id, target), by doubling; null for chains that loop or exceed the steps. No forbidden branch to the resolved parent."""
     now, done = links.select("id", "target"), 1
     while done < steps:
         on = now.select(F.col("id").alias("target"), F.col("target").alias("next"))

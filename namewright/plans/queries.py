@@ -57,7 +57,7 @@ _TREE = """tree AS (
   UNION ALL SELECT id, depth, p, 0 FROM ordered WHERE depth = 2)
 SELECT id, depth, 2 + 2 * p - depth AS "left", 2 + 2 * p - depth + 2 * n AS "right" FROM sized""")
 def tree_nested_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TREE-01, TREE-04."""
+    """TREE-01, TREE-04 in part: a root is a node without parent, whether accepted or synonym."""
     return nested_set(_tree(spark, sf_dir).select("id", "parent_id"))
 
 
@@ -74,7 +74,7 @@ def tree_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id, target, 1 FROM l UNION ALL SELECT w.id, l.target, w.k + 1 FROM walk w JOIN l ON w.target = l.id WHERE w.k < 40)
 SELECT id, arg_max(target, k) AS target FROM walk GROUP BY id""")
 def tree_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TREE-05: chains of links to their ends."""
+    """TREE-05 in part: chains of links to their ends, without the forbidden branch to the resolved parent."""
     return resolved(_table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 2").alias("target")))
 
 
@@ -125,7 +125,7 @@ def fn_search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY priority DESC, id) AS rn FROM f)
 SELECT qid, CASE stage WHEN 0 THEN 'exactMatch' WHEN 1 THEN 'canonicalMatch' ELSE 'soundexMatch' END AS match_type, id, rn FROM r WHERE rn <= 10""")
 def mat_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MAT-01, JN-01, JN-05, RNK-01: the best ten candidates of the first stage that gives any."""
+    """MAT-01 (no phrase and cultivar stages), JN-01, JN-05 (two of three words), RNK-01: the best ten candidates of the first stage that gives any."""
     part = _table(spark, sf_dir, "part")
     k = F.col("s_suppkey") % 3
     name = F.when(k == 0, F.col("p_name")).when(k == 1, F.translate("p_name", " ", "-")).otherwise(F.translate("p_name", "e", "i"))
@@ -177,7 +177,7 @@ def jn_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, regexp_matches(p_name, '^(?:.*e.*)$', 'i') AND p_size IN (1, 2, 3, 4, 5) OR p_type = 'PROMO' AS matched,
   CASE WHEN p_type = 'PROMO' THEN 'p_type:PROMO' WHEN p_size IN (1, 2, 3) THEN 'p_size:1,2,3' END AS reason FROM part""")
 def prd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRD-01, PRD-02, PRD-04, PRD-05, PRD-06."""
+    """PRD-01, PRD-02 (no mode NORMALISED), PRD-04, PRD-05, PRD-06."""
     promo = match_rule(p_type=["PROMO"])
     rule = any_of([all_of([match_rule(".*e.*", "REGEX", "p_name"), match_rule(p_size=[1, 2, 3, 4, 5])]), promo])
     return _table(spark, sf_dir, "part").select("p_partkey", rule.test.alias("matched"), first_reason([promo, match_rule(p_size=[1, 2, 3])]).alias("reason"))
