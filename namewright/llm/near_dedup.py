@@ -4,11 +4,16 @@ A SetSketch register is the minimum of exponential hash values of a set's elemen
 (floor(1 - log_b h), truncated to 0..q+1). Registers merge by maximum and agree with a probability that grows with
 the Jaccard similarity. Bands of registers are the bucket keys; pairs that meet are scored by the joint likelihood of
 their registers, and those that the likelihood-ratio test cannot rule out are confirmed on their full shingle sets.
+With a base near 1 the registers of unrelated sets of one size agree once in 4,000, so a band of five has about 60 bits and texts
+that have nothing in common do not meet, however many there are.
 
 Texts with equal sets form one node first, so copies cost a hash. Buckets of at most SMALL nodes emit their pairs. In a
-larger one every node is compared with a leader of another component, a few times; components merge, and only pairs of nodes
-that are still in different components meet after that, in a join whose condition drops those whose set sizes or
-differing registers rule a link out. No group's pairs are all emitted while comparisons with leaders settle them.
+larger one every node is compared with a leader of another component, a few times, and components merge. Nodes of such
+buckets that are still in different components then meet by an exact prefix filter instead of by the bucket: with all
+shingles in one order, rare ones first, two sets of similarity t or more share one of their first n - ceil(t n) + 1, and
+the places of the first shared one bound the rest. Noise that sets a text apart from a group is rare, so what a large group
+of copies leaves over costs a few candidates each, not one for each member. The order comes from a table of counts of fixed size: any order gives
+the same links, a better one fewer candidates. Shingles that many sets have in their prefix are dealt over several tasks.
 
 Defined results: null or wordless texts have an empty set and link with nothing; equal texts link; rows that repeat an
 id count as one row of the result each, and take the component of their text; a null id links with nothing and is kept.
@@ -21,17 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, ready, released, shingle_ids, stored
 
 #: Sketch parameters: base and rate of the register scale, largest register value less one.
-BASE, RATE, TOP = 1.12, 20.0, 254
+BASE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is ruled out if its likelihood at the threshold is below e^-18 of its best (6 deviations), so that far fewer pairs at the threshold are lost than by the bands.
 RULED_OUT = 18.0
-#: Nodes of a bucket that emits all its pairs; rounds of leaders for larger ones; deviations that a pair may differ by.
-SMALL, LEADER_ROUNDS, DEVIATIONS = 6, 3, 5.5
+#: Nodes of a bucket that emits all its pairs; rounds of leaders for larger ones.
+SMALL, LEADER_ROUNDS = 6, 2
+#: Cells of the table of shingle counts (8 bytes each, so it can be sent to every task); rows of a shingle that one task joins.
+CELLS, HOT = 1 << 18, 400
 
 
 def _family(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +47,7 @@ def _family(m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def registers(ids: np.ndarray, m: int) -> np.ndarray:
-    """m SetSketch registers (uint8) of a set of 64-bit ids."""
+    """m SetSketch registers (uint16) of a set of 64-bit ids."""
     mul, xor = _family(m)
     low = np.full(m, 2**32 - 1, np.uint32)
     x = (ids >> np.uint64(32)).astype(np.uint32)
@@ -52,7 +59,7 @@ def registers(ids: np.ndarray, m: int) -> np.ndarray:
             np.minimum(low, h.min(axis=1), out=low)
     u = (low.astype(np.float64) + 0.5) / 2**32
     k = np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(BASE))
-    return np.clip(k, 0, TOP + 1).astype(np.uint8)
+    return np.clip(k, 0, TOP + 1).astype(np.uint16)
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -82,15 +89,13 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
 def _sketches(k: int, m: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, key, regs, words = [], [], [], []
+            n, key, regs = [], [], []
             for text in pdf["text"]:
                 ids = shingle_ids(text, k)
                 n.append(len(ids))
                 key.append(xxhash.xxh3_128_digest(ids.tobytes()) if len(ids) else None)
-                r = registers(ids, m) if len(ids) else None
-                regs.append(None if r is None else r.tobytes())
-                words.append(None if r is None else r.view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "sketch": regs, "words": words})
+                regs.append(registers(ids, m).tobytes() if len(ids) else None)
+            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "sketch": regs})
 
     return run
 
@@ -100,7 +105,7 @@ def _buckets(bands: int, rows: int):
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys = np.array([[xxhash.xxh3_64_intdigest(s[b * rows : b * rows + rows], seed=b) for b in range(bands)] for s in pdf["sketch"]], np.uint64)
+            keys = np.array([[xxhash.xxh3_64_intdigest(s[2 * b * rows : 2 * (b + 1) * rows], seed=b) for b in range(bands)] for s in pdf["sketch"]], np.uint64)
             yield pd.DataFrame({"bucket": keys.reshape(-1).view(np.int64), "node": np.repeat(pdf["node"].to_numpy(), bands)})
 
     return run
@@ -111,8 +116,8 @@ def _screen(least: float):
         for pdf in batches:
             if not len(pdf):
                 continue
-            a = np.frombuffer(b"".join(pdf["sa"]), np.uint8).reshape(len(pdf), -1)
-            b = np.frombuffer(b"".join(pdf["sb"]), np.uint8).reshape(len(pdf), -1)
+            a = np.frombuffer(b"".join(pdf["sa"]), np.uint16).reshape(len(pdf), -1)
+            b = np.frombuffer(b"".join(pdf["sb"]), np.uint16).reshape(len(pdf), -1)
             yield pdf.loc[plausible(a, b, pdf["na"].to_numpy(), pdf["nb"].to_numpy(), least), ["a", "b"]]
 
     return run
@@ -135,39 +140,80 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
-def alike(words: int, num: int, den: int) -> Column:
-    """Whether rows x and y (n, words: registers as longs) may link: by set sizes, and by how many registers differ.
+def _cells(k: int):
+    """How many sets have a shingle in each cell, summed over a task's texts."""
 
-    Registers of a linked pair differ with probability 1 - num / den at most; DEVIATIONS standard deviations are allowed.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for pdf in batches:
+            for text in pdf["text"]:
+                total[(shingle_ids(text, k) % np.uint64(CELLS)).astype(np.int64)] += 1
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "n": total[at]})
+
+    return run
+
+
+def _prefixes(k: int, num: int, den: int, count):
+    """The first shingles of each set, rare cells first: at least one of them is in any set that links with it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, n = [], []
+            for text in pdf["text"]:
+                x = shingle_ids(text, k)
+                n.append(len(x))
+                ids.append(x[np.lexsort((x, count.value[(x % np.uint64(CELLS)).astype(np.int64)]))][: len(x) + num * len(x) // -den + 1])
+            if ids:
+                size = np.array([len(x) for x in ids])
+                of = np.repeat(np.arange(len(ids)), size)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                yield pd.DataFrame({"token": np.concatenate(ids).view(np.int64), "at": at, "node": pdf["node"].to_numpy()[of], "label": pdf["label"].to_numpy()[of], "n": np.array(n)[of]})
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a > b) of texts (node, label, text) of different labels that can link: complete, by prefixes and places in them.
+
+    A shingle's rows are dealt over tasks by salt; those of its most frequent label meet the others but not one another.
     """
-    differ = F.lit(0)
-    for i in range(words):
-        d = F.get("x.words", F.lit(i)).bitwiseXOR(F.get("y.words", F.lit(i)))
-        for by in (4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, by))
-        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
-    t, m = num / den, words * 8
-    most = int(m * (1 - t) + DEVIATIONS * (m * t * (1 - t)) ** 0.5) + 1
-    return (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (differ <= most)
+    spark = texts.sparkSession
+    count = np.zeros(CELLS, np.int64)
+    found = texts.select("text").mapInPandas(_cells(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    count[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(count)
+    rows = stored(texts.mapInPandas(_prefixes(k, num, den, sent), "token long, at long, node long, label long, n long"), "prefixes")
+    labels = rows.groupBy("token", "label").agg(F.count("*").alias("m"))
+    tokens = labels.groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    tokens = tokens.where("lo < hi").select("token", F.col("most.label").alias("top"), F.ceil(F.col("m") / HOT).cast("long").alias("salts"))
+    met = stored(rows.join(tokens, "token"), "met")
+    released(rows)
+    every = met.select("token", F.pmod(F.hash("node"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"y_{c}") for c in ("at", "node", "label", "n")])
+    fewer = met.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"x_{c}") for c in ("at", "node", "label", "n")])
+    rest = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1  # shingles that can still be shared from here on
+    can = (rest * (num + den) >= (F.col("x_n") + F.col("y_n")) * num) & (F.col("x_label") != F.col("y_label"))
+    pairs = fewer.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & can)
+    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 5) -> DataFrame:
     """id, n (set size), component (smallest id reachable by links, itself included) for docs (id: long, text: string).
 
     Texts link if den * |A and B| >= num * |A or B| on their sets of k-word shingles. With 32 bands of 5 registers a
-    pair at similarity 0.8 misses every band with probability below 4e-6. bands * rows is a multiple of 8.
+    pair at similarity 0.8 misses every band with probability below 4e-6.
     """
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    all_docs = stored(docs.mapInPandas(_sketches(k, bands * rows), "id long, n long, key binary, sketch binary, words array<long>"), "sketches")
+    all_docs = stored(docs.mapInPandas(_sketches(k, bands * rows), "id long, n long, key binary, sketch binary"), "sketches")
     some = all_docs.where("id is not null and key is not null")
-    first = stored(some.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("words").alias("words")), "nodes")
+    first = stored(some.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     tokens = stored(first.select("node", "sketch").mapInPandas(_buckets(bands, rows), "bucket long, node long"), "tokens")
     shared = tokens.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     live = stored(tokens.join(shared, "bucket"), "live")
     released(tokens)
-    sides = first.select("node", "n", "sketch", "words")
+    sides = first.select("node", "n", "sketch")
     ids = live.select("node").distinct()
     texts = stored(docs.join(ids, F.col("id") == F.col("node"), "left_semi"), "texts")
 
@@ -188,28 +234,26 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     heads = large.groupBy("bucket").agg(F.min("node").alias("head"))
     links = verified(pairs.unionByName(large.join(heads, "bucket").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))))
     labels = stored(components(links, "component"), "labels")
-    for turn in range(1, LEADER_ROUNDS + 1):
+    for turn in range(LEADER_ROUNDS + 1):
         named = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-        low, high = F.col("label") == F.col("lo_label"), F.col("label") == F.col("hi_label")
-        ends = named.groupBy("bucket").agg(F.min("label").alias("lo_label"), F.max("label").alias("hi_label")).where("lo_label < hi_label")
+        ends = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
         mixed = stored(named.join(ends, "bucket"), "mixed")
-        if mixed.isEmpty():
+        if turn == LEADER_ROUNDS:
+            break
+        # components with many nodes in one bucket: each node meets the last one of the first or of the last such component
+        many = mixed.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.max("node").alias("last")).where(F.col("m") > SMALL).drop("m")
+        end = F.struct("label", "last")
+        ends = many.groupBy("bucket").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.label < hi.label")
+        other = F.when(F.col("label") == F.col("lo.label"), F.col("hi.last")).otherwise(F.col("lo.last"))
+        new = verified(mixed.join(many.drop("last"), ["bucket", "label"]).join(ends, "bucket").select(F.greatest("node", other).alias("a"), F.least("node", other).alias("b")))
+        if new.isEmpty():
             break
-        if turn < LEADER_ROUNDS:
-            # the last node of the first and of the last component; each node meets the one that isn't of its own
-            heads = mixed.groupBy("bucket").agg(F.max(F.when(low, F.col("node"))).alias("lo_node"), F.max(F.when(high, F.col("node"))).alias("hi_node"))
-            end = F.when(low, F.col("hi_node")).otherwise(F.col("lo_node"))
-            pairs = mixed.join(heads, "bucket").select(F.greatest("node", end).alias("a"), F.least("node", end).alias("b"))
-        else:
-            longs = sides.select("node", "n", "words")
-            full = stored(mixed.select("bucket", "node", "label").join(longs, "node"), "mixed-sides")
-            meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-            pairs = full.alias("x").join(full.alias("y"), meet & alike(bands * rows // 8, num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        new = verified(pairs)
         released(mixed)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = stored(components(links, "component"), "labels")
+        links = links.unionByName(new)
+        labels = stored(components(links, "component"), "labels")
+    apart = stored(mixed.select("node", "label").distinct().join(texts.withColumnRenamed("id", "node"), "node"), "apart")
+    links = links.unionByName(verified(prefix_pairs(apart, k, num, den)))
+    labels = stored(components(links, "component"), "labels")
     nodes = first.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     known = all_docs.where("id is not null and key is not null").join(nodes, "key", "left").select("id", "n", "component")
     alone = all_docs.where("id is null or key is null").select("id", "n", F.col("id").alias("component"))

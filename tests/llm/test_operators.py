@@ -79,13 +79,33 @@ def test_near_dedup_screens_lose_less_than_bands():
 
     for m in (80, 160):
         tail = lambda most: sum(comb(m, k) * 0.2**k * 0.8 ** (m - k) for k in range(most + 1, m + 1))  # noqa: B023, E731
-        assert tail(int(m * 0.2 + near_dedup_module.DEVIATIONS * (m * 0.16) ** 0.5) + 1) < 1e-6
-        a, b, n = np.full((m + 1, m), 9, np.uint8), np.tri(m + 1, m, -1, np.uint8) + 9, np.full(m + 1, 1000)
+        a, b, n = np.full((m + 1, m), 9, np.uint16), np.tri(m + 1, m, -1, np.uint16) + np.uint16(9), np.full(m + 1, 1000)
         b[:, ::2] = np.where(b[:, ::2] > 9, 8, 9)  # k registers differ, up and down in turn
         passed = near_dedup_module.plausible(a, b, n, n, 0.8)
         assert tail(int(np.flatnonzero(passed).max())) < 1e-6
 
 
+def test_near_dedup_settles_a_large_group(spark, monkeypatch):
+    """Variants of one text at similarities around the threshold: shared buckets, several components, small salts."""
+    monkeypatch.setattr(near_dedup_module, "HOT", 7)
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(w if r.random() > rate else f"x{r.integers(40)}" for w in base) for i, rate in enumerate(r.choice([0.03, 0.09, 0.12], 300))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {d: shingles(t, 2) for d, t in texts.items()}
+    root = roots(sets, [(o, d) for d in sets for o in range(d) if 100 * len(sets[o] & sets[d]) >= 80 * len(sets[o] | sets[d])])
+    assert {r.doc_id: r.component_id for r in near_dedup(docs, 2).collect()} == root and len(set(root.values())) > 20
+
+
+def test_prefix_pairs_hold_every_link(spark):
+    r = np.random.default_rng(6)
+    texts = [(i, i, " ".join(f"w{x}" for x in r.permutation(14)[: r.integers(6, 14)])) for i in range(80)]
+    found = near_dedup_module.prefix_pairs(spark.createDataFrame(texts, "node long, label long, text string"), 1, 80, 100)
+    sets = [set(t.split()) for _, _, t in texts]
+    want = {(a, b) for a in range(80) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want <= {tuple(p) for p in found.collect()} and want
+
+
 def test_sentencepiece_round_trip(spark):
     rows = encode_decode(table(spark, SF, "documents")).collect()
     assert all(r.exact for r in rows) and len(rows) == len(read("documents"))
