@@ -11,7 +11,7 @@ Texts with equal sets form one node first, so copies cost a hash. Buckets of at
 larger one every node is compared with a leader of another component, a few times, and components merge. Nodes of such
 buckets that are still in different components then meet by an exact prefix filter instead of by the bucket: with all
 shingles in one order, rare ones first, two sets of similarity t or more share one of their first n - ceil(t n) + 1, and
-the places of the first shared one bound the rest. Noise that sets a text apart from a group is rare, so what a large group
+the places of the first shared one, and parity bits of the sets, bound the rest. Noise that sets a text apart from a group is rare, so what a large group
 of copies leaves over costs a few candidates each, not one for each member. The order comes from a table of counts of fixed size: any order gives
 the same links, a better one fewer candidates. Shingles that many sets have in their prefix are dealt over several tasks.
 
@@ -39,6 +39,9 @@ RULED_OUT = 18.0
 SMALL, LEADER_ROUNDS = 6, 2
 #: Cells of the table of shingle counts (8 bytes each, so it can be sent to every task); rows of a shingle that one task joins.
 CELLS, HOT = 1 << 18, 400
+#: Longs of a set's parity bits, and their columns.
+LONGS = 8
+ODD = [f"odd{i}" for i in range(LONGS)]
 
 
 def _family(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,22 +162,26 @@ def _prefixes(k: int, num: int, den: int, count):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, n = [], []
+            ids, n, odd = [], [], []
             for text in pdf["text"]:
                 x = shingle_ids(text, k)
                 n.append(len(x))
+                odd.append(np.packbits(np.bincount((x >> np.uint64(40)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64))
                 ids.append(x[np.lexsort((x, count.value[(x % np.uint64(CELLS)).astype(np.int64)]))][: len(x) + num * len(x) // -den + 1])
             if ids:
                 size = np.array([len(x) for x in ids])
                 of = np.repeat(np.arange(len(ids)), size)
                 at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-                yield pd.DataFrame({"token": np.concatenate(ids).view(np.int64), "at": at, "node": pdf["node"].to_numpy()[of], "label": pdf["label"].to_numpy()[of], "n": np.array(n)[of]})
+                yield pd.DataFrame({"token": np.concatenate(ids).view(np.int64), "at": at, "node": pdf["node"].to_numpy()[of], "label": pdf["label"].to_numpy()[of], "n": np.array(n)[of], **dict(zip(ODD, np.array(odd)[of].T, strict=True))})
 
     return run
 
 
 def prefix_pairs(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a > b) of texts (node, label, text) of different labels that can link: complete, by prefixes and places in them.
+    """Pairs (a > b) of texts (node, label, text) of different labels that can link: complete, by prefixes, places in them and parity.
+
+    A set has one bit for each of 512 classes of shingles, telling whether it holds an odd number of them: where two sets'
+    bits differ, one set has a shingle that the other hasn't, and there are at most (1 - t) / (1 + t) (|A| + |B|) of those.
 
     A shingle's rows are dealt over tasks by salt; those of its most frequent label meet the others but not one another.
     """
@@ -183,16 +190,17 @@ def prefix_pairs(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     found = texts.select("text").mapInPandas(_cells(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     count[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(count)
-    rows = stored(texts.mapInPandas(_prefixes(k, num, den, sent), "token long, at long, node long, label long, n long"), "prefixes")
+    rows = stored(texts.mapInPandas(_prefixes(k, num, den, sent), "token long, at long, node long, label long, n long, " + ", ".join(f"{c} long" for c in ODD)), "prefixes")
     labels = rows.groupBy("token", "label").agg(F.count("*").alias("m"))
     tokens = labels.groupBy("token").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     tokens = tokens.where("lo < hi").select("token", F.col("most.label").alias("top"), F.ceil(F.col("m") / HOT).cast("long").alias("salts"))
     met = stored(rows.join(tokens, "token"), "met")
     released(rows)
-    every = met.select("token", F.pmod(F.hash("node"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"y_{c}") for c in ("at", "node", "label", "n")])
-    fewer = met.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"x_{c}") for c in ("at", "node", "label", "n")])
+    every = met.select("token", F.pmod(F.hash("node"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"y_{c}") for c in ("at", "node", "label", "n", *ODD)])
+    fewer = met.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"x_{c}") for c in ("at", "node", "label", "n", *ODD)])
     rest = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1  # shingles that can still be shared from here on
-    can = (rest * (num + den) >= (F.col("x_n") + F.col("y_n")) * num) & (F.col("x_label") != F.col("y_label"))
+    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ODD), F.lit(0))  # shingles of one set alone, at least
+    can = (rest * (num + den) >= (F.col("x_n") + F.col("y_n")) * num) & (apart * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num)) & (F.col("x_label") != F.col("y_label"))
     pairs = fewer.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & can)
     return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
 
