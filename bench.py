@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from namewright.plans.queries import QUERIES
+from namewright.plans.catalog import QUERIES
 
 
 def main() -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,18 +35,31 @@ def sound_normal(x: Column) -> Column:
     return blank_to_null(F.regexp_replace(x, "[^a-zA-Z .]", ""))
 
 
-def sound_key(x: Column, epithet: bool = False) -> Column:
-    """Sounds-alike key of one word of a name; an epithet also loses its gender ending."""
-    x = sound_normal(x)
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once: a long rule that repeats its argument would copy it into every branch."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def led(x: Column, rules: list[tuple[str, str]]) -> Column:
+    """x with the first of the leading letters that it has replaced."""
     lead = F.when(F.lit(False), x)
-    for old, new in LEADING:
+    for old, new in rules:
         lead = lead.when(x.startswith(old), F.concat(F.lit(new), F.substring(x, len(old) + 1, 1 << 30)))
-    lead = lead.when(x.startswith("X"), F.concat(F.lit("Z"), F.substring(x, 3, 1 << 30))).otherwise(x)
-    rest = F.substring(lead, 2, 1 << 30)
-    for old, new in TAIL:
-        rest = F.replace(rest, F.lit(old), F.lit(new))
-    key = F.regexp_replace(F.concat(F.substring(lead, 1, 1), rest), r"(\w)\1+", "$1")
-    return F.regexp_replace(key, "(IS|IM|AS)$", "A") if epithet else key
+    return lead.otherwise(x)
+
+
+def sound_key(x: Column, epithet: bool = False) -> Column:
+    """Sounds-alike key of one word of a name; an epithet also loses its gender ending."""
+
+    def key(lead: Column) -> Column:
+        rest = F.substring(lead, 2, 1 << 30)
+        for old, new in TAIL:
+            rest = F.replace(rest, F.lit(old), F.lit(new))
+        squeezed = F.regexp_replace(F.concat(F.substring(lead, 1, 1), rest), r"(\w)\1+", "$1")
+        return F.regexp_replace(squeezed, "(IS|IM|AS)$", "A") if epithet else squeezed
+
+    lead = bound(sound_normal(x), lambda w: F.when(w.startswith("X"), F.concat(F.lit("Z"), F.substring(w, 3, 1 << 30))).otherwise(led(w, LEADING)))
+    return bound(lead, key)
 
 
 def common_key(x: Column) -> Column:
@@ -94,3 +109,33 @@ def without_author(name: Column, author: Column) -> Column:
     at = F.instr(name, author)
     cut = F.trim(F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + F.length(author), F.length(name))))
     return F.when(at > 0, cut).otherwise(name)
+
+
+#: Words that virus names are also found without; words that a phrase loses.
+VIRUS_WORDS, PHRASE_WORDS = " virus| ictv| ICTV", r"&|\bAND\b|\band\b|\bStn\b|\bStation\b|\bMt\b|\bMount\b"
+
+
+def virus_variants(x: Column) -> Column:
+    """The spellings that a virus name is looked up by."""
+    bare = F.regexp_replace(x, VIRUS_WORDS, "")
+    return F.array_distinct(F.array(x, bare, F.trim(bare)))
+
+
+def phrase_clean(x: Column) -> Column:
+    """A phrase without connecting words and quotation marks, single-spaced."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, PHRASE_WORDS, ""), "['\"]", ""), " +", " "))
+
+
+def phrase_parts(x: Column) -> Column:
+    """genus, rank, phrase, voucher of a phrase name such as `Baeckea sp. Bunney Road (S.Patrick 4059)`; nulls for other names."""
+    shape = r"^([A-Z][a-z]+)\s+(sp\.|subsp\.|var\.)\s+([A-Z'\"][^()]*?)\s*(?:\(([^()]*)\))?\s*$"
+    part = lambda i: F.nullif(F.regexp_extract(x, shape, i), F.lit(""))
+    return F.struct(part(1).alias("genus"), part(2).alias("rank"), part(3).alias("phrase"), part(4).alias("voucher"))
+
+
+def inferred_name(parts: list[tuple[str, Column]]) -> Column:
+    """rank, name: the first of the (rank, text) parts that is there, lowest rank first."""
+    first = F.when(F.lit(False), F.struct(F.lit("").alias("rank"), F.lit("").alias("name")))
+    for rank, x in parts:
+        first = first.when(blank_to_null(x).isNotNull(), F.struct(F.lit(rank).alias("rank"), F.trim(x).alias("name")))
+    return first

@@ -9,15 +9,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from namewright.functions.names import normalise_spaces
+from namewright.functions.names import ACCENTED, FOLDED, normalise_spaces
 
 
 def text_test(x: Column, want: str, mode: str = "EXACT") -> Column:
-    """EXACT, INSENSITIVE (case and runs of spaces aside) or REGEX (the whole text, case aside). Null never matches."""
+    """EXACT, INSENSITIVE (case and runs of spaces aside), NORMALISED (punctuation and marks of letters aside too) or REGEX (the whole text, case aside). Null never matches."""
     if mode == "EXACT":
         hit = x == want
     elif mode == "INSENSITIVE":
         hit = F.upper(normalise_spaces(x)) == F.upper(normalise_spaces(F.lit(want)))
+    elif mode == "NORMALISED":
+        plain = lambda v: normalise_spaces(F.regexp_replace(F.translate(F.upper(v), ACCENTED, FOLDED), r"\p{P}+", " "))
+        hit = plain(x) == plain(F.lit(want))
     elif mode == "REGEX":
         hit = x.rlike(f"(?i)^(?:{want})$")
     else:

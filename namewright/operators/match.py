@@ -16,12 +16,13 @@ def cascade(queries: DataFrame, taxa: DataFrame, top: int = TOP) -> DataFrame:
     """qid, match_type, id, rn for queries (qid, name) and taxa (id, name, priority).
 
     A query keeps the candidates of the first stage that gives any: exact (case aside), canonical (letters only), then
-    sounds-alike on the first two words: names that differ in the third word match by sound too. Phrase and cultivar
+    sounds-alike on the first three words, where a missing epithet only matches a missing one. Phrase and cultivar
     stages are missing. The best come first by priority, then id.
     """
     def keys(df: DataFrame) -> DataFrame:
         word = F.split(F.trim("name"), " +")
-        sound = F.concat_ws(" ", sound_key(F.get(word, F.lit(0))), sound_key(F.get(word, F.lit(1)), True))
+        epithets = [F.coalesce(sound_key(F.get(word, F.lit(i)), True), F.lit("<null>")) for i in (1, 2)]
+        sound = F.concat(sound_key(F.get(word, F.lit(0))), F.lit(" "), epithets[0], F.lit(" "), epithets[1])
         return df.withColumn("keys", F.array(F.lower("name"), letters_key(F.col("name")), sound))
 
     # a query has one key a stage, so the best of a key are the best of the query: taxa are cut to them before the join

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage ended in the cluster's checkpoint folder; as it is where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return df
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    """df with its lineage ended in the cluster's checkpoint folder; only where none is named, as in tests, in a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="namewright-"))
     return df.checkpoint()

@@ -116,8 +116,8 @@ def fn_search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH q0 AS (SELECT s_suppkey AS qid, CASE s_suppkey % 3 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '-') ELSE replace(p_name, 'e', 'i') END AS name FROM supplier JOIN part ON s_suppkey = p_partkey),
   t0 AS (SELECT p_partkey AS id, p_name AS name, p_size AS priority FROM part),
   q1 AS (SELECT *, split_part(name, ' ', 1) AS p1, split_part(name, ' ', 2) AS p2 FROM q0), t1 AS (SELECT *, split_part(name, ' ', 1) AS p1, split_part(name, ' ', 2) AS p2 FROM t0),
-  qs AS (SELECT *, trim(coalesce({_sql_sound("p1", False)}, '') || ' ' || coalesce({_sql_sound("nullif(p2, '')", True)}, '')) AS sx FROM q1),
-  ts AS (SELECT *, trim(coalesce({_sql_sound("p1", False)}, '') || ' ' || coalesce({_sql_sound("nullif(p2, '')", True)}, '')) AS sx FROM t1),
+  qs AS (SELECT *, {_sql_sound("p1", False)} || ' ' || coalesce({_sql_sound("nullif(p2, '')", True)}, '<null>') || ' <null>' AS sx FROM q1),
+  ts AS (SELECT *, {_sql_sound("p1", False)} || ' ' || coalesce({_sql_sound("nullif(p2, '')", True)}, '<null>') || ' <null>' AS sx FROM t1),
   h AS (SELECT qid, 0 AS stage, id, priority FROM qs q JOIN ts t ON lower(q.name) = lower(t.name)
     UNION ALL SELECT qid, 1, id, priority FROM qs q JOIN ts t ON regexp_replace(lower(q.name), '[^a-z]', '', 'g') = regexp_replace(lower(t.name), '[^a-z]', '', 'g')
     UNION ALL SELECT qid, 2, id, priority FROM qs q JOIN ts t ON q.sx = t.sx),
@@ -125,7 +125,7 @@ def fn_search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY priority DESC, id) AS rn FROM f)
 SELECT qid, CASE stage WHEN 0 THEN 'exactMatch' WHEN 1 THEN 'canonicalMatch' ELSE 'soundexMatch' END AS match_type, id, rn FROM r WHERE rn <= 10""")
 def mat_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MAT-01 (no phrase and cultivar stages), JN-01, JN-05 (two of three words), RNK-01: the best ten candidates of the first stage that gives any."""
+    """MAT-01 (no phrase and cultivar stages), JN-01, JN-05, IDX-03, RNK-01: the best ten candidates of the first stage that gives any."""
     part = _table(spark, sf_dir, "part")
     k = F.col("s_suppkey") % 3
     name = F.when(k == 0, F.col("p_name")).when(k == 1, F.translate("p_name", " ", "-")).otherwise(F.translate("p_name", "e", "i"))
@@ -177,7 +177,7 @@ def jn_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, regexp_matches(p_name, '^(?:.*e.*)$', 'i') AND p_size IN (1, 2, 3, 4, 5) OR p_type = 'PROMO' AS matched,
   CASE WHEN p_type = 'PROMO' THEN 'p_type:PROMO' WHEN p_size IN (1, 2, 3) THEN 'p_size:1,2,3' END AS reason FROM part""")
 def prd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRD-01, PRD-02 (no mode NORMALISED), PRD-04, PRD-05, PRD-06."""
+    """PRD-01, PRD-02, PRD-04, PRD-05, PRD-06."""
     promo = match_rule(p_type=["PROMO"])
     rule = any_of([all_of([match_rule(".*e.*", "REGEX", "p_name"), match_rule(p_size=[1, 2, 3, 4, 5])]), promo])
     return _table(spark, sf_dir, "part").select("p_partkey", rule.test.alias("matched"), first_reason([promo, match_rule(p_size=[1, 2, 3])]).alias("reason"))

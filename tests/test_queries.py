@@ -8,10 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from namewright.functions import names as N
-from namewright.operators.conditions import all_of, any_of, first_reason, match_rule
+from namewright.functions import similarity as S
+from namewright.operators.conditions import all_of, any_of, first_reason, match_rule, text_test
+from namewright.operators.match import cascade
 from namewright.operators.tree import nested_set, resolved
-from namewright.plans.queries import QUERIES, SQL
+from namewright.plans.catalog import QUERIES, SQL
+from namewright.sources.archive import all_taxa, find_sources, open_source, read_archive, with_extension, write_archive
 from namewright.sources.delimited import priorities, read_delimited
+from namewright.streaming.match import changed, match_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +54,69 @@ def test_names(spark, f, text, want):
     assert one(spark, f(F.lit(text))) == want
 
 
+def test_rule_modes(spark):
+    hit = lambda text, want, mode: one(spark, text_test(F.lit(text), want, mode))
+    assert hit("Acácia-Dealbata ", "acacia dealbata", "NORMALISED") and not hit("Acacia", "Acaciae", "NORMALISED")
+    assert not hit(None, "a", "NORMALISED")
+
+
+def test_similarity_golden_values(spark):
+    assert [one(spark, S.ngram_similarity(F.lit("SMITH"), F.lit("SMYTH"), n)) for n in (2, 3)] == [0.6667, 0.5714]
+    assert [one(spark, S.ngram_similarity(F.lit("ACACIA"), F.lit("ACASIA"), n)) for n in (2, 3)] == [0.7143, 0.625]
+    assert one(spark, S.edit_similarity(F.lit(""), F.lit(""))) == 1
+
+
+@pytest.mark.parametrize(("word", "epithet", "want"), [("Acacia", False, "ACACA"), ("Eucalyptus", False, "UCALIPTIS"), ("Xanthorrhoea", False, "ZNTARIA"), ("Macropus", False, "MACRAPIS"),
+    ("Psephotus", False, "SIPATIS"), ("Mcleania", False, "MACLIANA"), ("rufum", True, "RIFA"), ("novaehollandiae", True, "NAVIALANDI"), ("haemorrhoïdalis", True, "HIMARADALA")])
+def test_sound_keys(spark, word, epithet, want):
+    assert one(spark, N.sound_key(F.lit(word), epithet)) == want
+
+
+def test_three_words_match_by_sound_in_all_of_them(spark):
+    taxa = spark.createDataFrame([(1, "Acacia rufa alba", 1), (2, "Acacia rufa", 1)], "id long, name string, priority int")
+    q = spark.createDataFrame([(1, "Acacia rufus albus"), (2, "Acacia rufum")], "qid long, name string")
+    assert {(r.qid, r.id) for r in cascade(q, taxa).collect()} == {(1, 1), (2, 2)}
+
+
+def test_phrase_names(spark):
+    p = one(spark, N.phrase_parts(F.lit("Baeckea sp. Bunney Road (S.Patrick 4059)")))
+    assert tuple(p) == ("Baeckea", "sp.", "Bunney Road", "S.Patrick 4059")
+    assert one(spark, N.phrase_parts(F.lit("Thelymitra sp. adorata"))).genus is None
+
+
+def test_archive_round_trip(spark, tmp_path):
+    taxa = spark.createDataFrame([("t2", "Acacia\tdealbata", None), ("t1", "Acacia", "x")], "taxonID string, scientificName string, note string")
+    places = spark.createDataFrame([("t1", "here"), ("t1", "there")], "taxonID string, locality string")
+    folder = str(tmp_path / "a" / "archive")
+    write_archive(folder, taxa, {"Distribution": places})
+    got = read_archive(spark, folder)
+    assert list(got) == ["Taxon", "Distribution"]
+    assert {(r.core_id, r.scientificName, r.note) for r in got["Taxon"].collect()} == {("t2", "Acacia\tdealbata", None), ("t1", "Acacia", "x")}
+    joined = {r.taxonID: r.d for r in with_extension(got["Taxon"], got["Distribution"], "d").collect()}
+    assert sorted(x.locality for x in joined["t1"]) == ["here", "there"] and joined["t2"] is None
+    (tmp_path / "b.csv").write_text("taxonID,scientificName\n1, Acacia \n2,\n")
+    assert find_sources(str(tmp_path)) == [str(tmp_path / "b.csv"), folder]
+    with pytest.raises(ValueError, match="nomenclaturalCode"):
+        open_source(spark, folder)
+    both = all_taxa([open_source(spark, str(tmp_path / "b.csv"), ["taxonID"])["Taxon"], got["Taxon"]])
+    assert both.count() == 4 and both.where("scientificName is null").count() == 1
+
+
+def test_stream_of_names(spark, tmp_path):
+    taxa = spark.createDataFrame([(1, "Acacia", 1), (2, "acacia", 5), (3, "Macropus", 1)], "id long, name string, priority int")
+    spark.createDataFrame([("ACACIA",), ("Nothing",)], "name string").write.json(str(tmp_path / "in"))
+    stream = match_stream(spark.readStream.schema("name string").json(str(tmp_path / "in")), taxa)
+    run = stream.writeStream.format("memory").queryName("matched").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("matched").collect()} == {("ACACIA", 2), ("Nothing", None)}
+
+
+def test_changes(spark):
+    taxa = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, None, "c")], "id long, accepted_id long, name string")
+    changes = spark.createDataFrame([("delete", 1, None, None), ("add", 3, None, "d"), ("add", 4, None, "e")], "op string, id long, accepted_id long, name string")
+    assert {(r.id, r.name) for r in changed(taxa, changes).collect()} == {(3, "d"), (4, "e")}
+
+
 def test_null_stays_null(spark):
     for f in (N.normalise_spaces, N.sound_key, N.common_key, N.author_key):
         assert one(spark, f(F.lit(None).cast("string"))) is None
