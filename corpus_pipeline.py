@@ -39,12 +39,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id with the same text are one document; rows without id are kept.
     """
-    found = stored(near_dedup(docs), "kept")
-    first = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = stored(near_dedup(docs), "kept").where("doc_id is not null")
+    # written, so that its size is known: Spark sends the removed ids to the texts while they are small, and shuffles the texts beyond that
+    removed = stored(found.groupBy("doc_id").agg(F.bool_or("kept").alias("any"), F.count("*").alias("n")).where("not any or n > 1"), "removed")
+    kept = docs.join(removed.where("not any").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if not removed.where("n > 1").isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    return kept
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

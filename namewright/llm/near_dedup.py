@@ -222,7 +222,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     live = stored(tokens.join(shared, "bucket"), "live")
     released(tokens)
     sides = first.select("node", "n", "sketch")
-    ids = live.select("node").distinct()
+    ids = stored(live.select("node").distinct(), "ids")  # written, so that its size is known to the join
     texts = stored(docs.join(ids, F.col("id") == F.col("node"), "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
