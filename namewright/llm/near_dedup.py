@@ -221,19 +221,23 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     shared = tokens.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     live = stored(tokens.join(shared, "bucket"), "live")
     released(tokens)
-    sides = first.select("node", "n", "sketch")
-    ids = stored(live.select("node").distinct(), "ids")  # written, so that its size is known to the join
+    ids = stored(live.select("node").distinct(), "ids")  # written, so that its size is known to the joins
+    sides = stored(first.join(ids, "node", "left_semi").select("node", "n", "sketch"), "sides")
     texts = stored(docs.join(ids, F.col("id") == F.col("node"), "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
         a = sides.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = sides.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        left = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(_screen(num / den), "a long, b long")
+        # pairs are written before each join, so that Spark moves them to the sketches and texts while they are the smaller side
+        met = stored(pairs.distinct(), "pairs")
+        left = stored(met.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(_screen(num / den), "a long, b long"), "left")
         ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(left.select("b").distinct(), "b", "left_semi")  # many pairs share few of them
         links = left.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(_confirm(k, num, den), "hi long, lo long")
-        return stored(links, "links")
+        links = stored(links, "links")
+        released(met, left)
+        return links
 
     small = live.where(F.col("size") <= SMALL).select("bucket", "node")
     x, y = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
