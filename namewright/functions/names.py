@@ -139,3 +139,23 @@ def inferred_name(parts: list[tuple[str, Column]]) -> Column:
     for rank, x in parts:
         first = first.when(blank_to_null(x).isNotNull(), F.struct(F.lit(rank).alias("rank"), F.trim(x).alias("name")))
     return first
+
+
+#: Fixed values of the spelling key: replacements after the first letter, in this order; the last one is a literal run of letters.
+SPELLING_TAIL = [("AE", "I"), ("IA", "A"), ("OE", "I"), ("OI", "A"), ("MC", "MAC"), ("SC", "S"), ("EOUYKZH", "IAIICS")]
+
+
+def spelling_key(x: Column) -> Column:
+    """Key of names that differ by suspiciously little: sounds as above without `Mc`, no repeated letter, each word's letters in order after its first."""
+
+    def word(w: Column) -> Column:
+        return F.concat(F.substring(w, 1, 1), F.array_join(F.array_sort(F.filter(F.split(F.substring(w, 2, 1 << 30), ""), lambda c: c != "")), ""))
+
+    def key(lead: Column) -> Column:
+        rest = F.substring(lead, 2, 1 << 30)
+        for old, new in SPELLING_TAIL:
+            rest = F.replace(rest, F.lit(old), F.lit(new))
+        squeezed = F.regexp_replace(F.concat(F.substring(lead, 1, 1), rest), r"(?s)(.)\1+", "$1")
+        return F.array_join(F.transform(F.filter(F.split(squeezed, " "), lambda w: w != ""), word), " ")
+
+    return bound(led(F.upper(x), [("Æ", "E"), *[rule for rule in LEADING if rule[0] != "MC"], ("X", "Z")]), key)

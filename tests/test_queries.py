@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from namewright.functions import names as N
 from namewright.functions import similarity as S
+from namewright.operators.concepts import inherited_scores, least_upper_bounds
 from namewright.operators.conditions import all_of, any_of, first_reason, match_rule, text_test
 from namewright.operators.match import cascade
 from namewright.operators.tree import nested_set, resolved
@@ -144,3 +145,20 @@ def test_rules(spark):
     rules = [match_rule("acacia DEALBATA", "INSENSITIVE"), match_rule(rank=["species", "genus"]), all_of([]), any_of([])]
     assert [tuple(r) for r in df.select(*[r.test for r in rules]).collect()] == [(True, True, True, False), (False, False, True, False)]
     assert [r[0] for r in df.select(first_reason(rules[:2])).collect()] == ["name:acacia DEALBATA", None]
+
+
+@pytest.mark.parametrize(("text", "want"), [("Æschna", "EAHNS"), ("xanthorrhoea", "ZAAHHINORT"), ("Acacia  dealbata", "AAACC DAAABELT"), ("", ""), (None, None)])
+def test_spelling_key(spark, text, want):
+    assert one(spark, N.spelling_key(F.lit(text).cast("string"))) == want
+
+
+def test_scores_stop_at_other_providers_and_loops(spark):
+    rows_ = [("r", None, "A", 7, 1), ("x", "r", "A", None, 1), ("y", "x", "B", None, 2), ("z", "y", "B", None, 2), ("l", "m", "A", None, 3), ("m", "l", "A", None, 3), ("o", "none", None, None, 9)]
+    nodes = spark.createDataFrame(rows_, "id string, parent_id string, provider string, specific int, default int")
+    assert {r.id: r.score for r in inherited_scores(nodes).collect()} == {"r": 7, "x": 7, "y": 2, "z": 2, "l": 3, "m": 3, "o": 9}
+
+
+def test_least_upper_bound_of_a_synonym(spark):
+    taxa = spark.createDataFrame([("r", None, None, "R"), ("f", "r", None, "F"), ("g", "r", None, "G"), ("a", "f", None, "A"), ("b", "g", "a", "B")], "id string, parent_id string, accepted_id string, concept string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "g"), ("a", "g"), ("a", None), ("no", "a")], "a string, b string")
+    assert {(r.a, r.b): r.lub for r in least_upper_bounds(pairs, taxa).collect()} == {("a", "b"): "a", ("b", "g"): "g", ("a", "g"): "r", ("a", None): None, ("no", "a"): None}
