@@ -60,7 +60,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("MinHash near-dedup", near_stage), ("PII", pii_stage), ("packing", pack_stage)]
 
-#: The classifier, the field and the tokenizer can't be said in SQL. No test holds the stages against brute-force versions yet (see README).
+#: The classifier, the field and the tokenizer can't be said in SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
