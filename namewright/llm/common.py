@@ -9,11 +9,13 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts may be long, so batches hold few of them.
 BATCH_ROWS = 500
+#: Rows of a key that any task can hold; as a share of all rows, what makes a key heavy in a large table; cells in which rows are counted.
+HEAVY_ROWS, HEAVY_SHARE, HEAVY_CELLS = 1000, 8192, 65536
 _local: dict[str, str] = {}
 
 
@@ -60,6 +62,22 @@ def released(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def heavy(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """keys and aggregates of the keys that are too frequent for one task: those of more than max(HEAVY_ROWS, 1 / HEAVY_SHARE of all) rows.
+
+    There are fewer than HEAVY_SHARE of them however large rows is, so the table can be sent to every task, and all other
+    keys can be shuffled by key. Rows are counted in HEAVY_CELLS cells of keys first; keys are only counted in cells that
+    could hold a frequent one. rows should be stored, as it is read twice.
+    """
+    cell = F.pmod(F.xxhash64(*keys), F.lit(HEAVY_CELLS)).alias("__cell")
+    counts = stored(rows.groupBy(cell).agg(F.count("*").alias("n")), "cells")
+    limit = max(HEAVY_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) / HEAVY_SHARE)
+    some = rows.withColumn("__cell", cell).join(F.broadcast(counts.where(F.col("n") > limit).select("__cell")), "__cell", "left_semi")
+    out = stored(some.groupBy(*keys).agg(F.count("*").alias("__n"), *aggregates).where(F.col("__n") > limit).drop("__n"), "heavy")
+    released(counts)
+    return out
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node that its edges reach) for every node of edges (hi, lo: long).
 

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, ready, released, shingle_ids, stored
+from .common import components, heavy, ready, released, shingle_ids, stored
 
 #: Sketch parameters: base and rate of the register scale, largest register value less one.
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -218,9 +218,11 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     some = all_docs.where("id is not null and key is not null")
     first = stored(some.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     tokens = stored(first.select("node", "sketch").mapInPandas(_buckets(bands, rows), "bucket long, node long"), "tokens")
-    shared = tokens.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    live = stored(tokens.join(shared, "bucket"), "live")
-    released(tokens)
+    # one shuffle of the tokens gives bucket sizes; the few heavy buckets are not shuffled
+    many = heavy(tokens, ["bucket"], F.count("*").alias("size"))
+    shared = tokens.join(F.broadcast(many.select("bucket")), "bucket", "left_anti").withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
+    live = stored(shared.unionByName(tokens.join(F.broadcast(many), "bucket")), "live")
+    released(tokens, many)
     ids = stored(live.select("node").distinct(), "ids")  # written, so that its size is known to the joins
     sides = stored(first.join(ids, "node", "left_semi").select("node", "n", "sketch"), "sides")
     texts = stored(docs.join(ids, F.col("id") == F.col("node"), "left_semi"), "texts")

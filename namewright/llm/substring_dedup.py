@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, released, stored
+from .common import heavy, ready, released, stored
 from .near_dedup import near_components
 
 #: Words of a paragraph, and of a passage's repeated pieces; anchor window; words that a run may skip.
@@ -51,8 +51,8 @@ def paragraphs(text: str, least: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and two hashes of the pieces between anchors that tile a text's words; hash of RUN_WORDS words from each start, and whether the text has so many."""
+def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and hash of the pieces between anchors that tile a text's words; hash of RUN_WORDS words from each start, and whether the text has so many."""
     n = len(words)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     with np.errstate(over="ignore"):
@@ -65,21 +65,19 @@ def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nda
             cuts = np.unique(np.arange(len(view)) + view.argmin(axis=1))
         start = np.unique(np.concatenate([[0], cuts])).astype(np.int64)
         length = np.diff(np.append(start, n))
-        # hashes of word sequences by position-weighted sums within each piece
+        # hashes of word sequences by position-weighted sums within each piece; no piece alone is a run, so 64 bits do
         k = np.arange(n, dtype=np.uint64) - np.repeat(start, length).astype(np.uint64)
-        out = []
-        for mul, add in ((0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D), (0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25)):
-            x = (h ^ (k * np.uint64(add))) * np.uint64(mul)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(add)
-            x ^= x >> np.uint64(32)
-            out.append((np.add.reduceat(x, start) + length.astype(np.uint64)).view(np.int64))
+        x = (h ^ (k * np.uint64(0x2545F4914F6CDD1D))) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x2545F4914F6CDD1D)
+        x ^= x >> np.uint64(32)
+        key = (np.add.reduceat(x, start) + length.astype(np.uint64)).view(np.int64)
         whole = start + RUN_WORDS <= n
         x = (h[np.minimum(start[:, None] + np.arange(RUN_WORDS), n - 1)] ^ (np.arange(RUN_WORDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))) * np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0x9FB21C651E98DF25)
         x ^= x >> np.uint64(32)
-    return start, length, out[0], out[1], x.sum(axis=1, dtype=np.uint64).view(np.int64), whole
+    return start, length, key, x.sum(axis=1, dtype=np.uint64).view(np.int64), whole
 
 
 def _paragraphs(least: int):
@@ -95,7 +93,7 @@ def _paragraphs(least: int):
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
             if words:
@@ -104,7 +102,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     c.append(x)
         if cols[0]:
             flat = [np.concatenate(c) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3]), pa.array(flat[4]), pa.array(flat[5], mask=~flat[6])], names=["doc_id", "start", "n_words", "h1", "h2", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3]), pa.array(flat[4], mask=~flat[5])], names=["doc_id", "start", "n_words", "h1", "g"])
 
 
 def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5) -> DataFrame:
@@ -140,16 +138,32 @@ def _runs(spans: DataFrame, run_words: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, start, n_words, first_doc, removed (an earlier document holds all of its words) for stretches of repeated pieces."""
-    rows = stored(docs.mapInArrow(_pieces, "doc_id long, start int, n_words int, h1 long, h2 long, g long"), "pieces")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    seen = stored(rows.join(first, ["h1", "h2"]).drop("h2"), "seen")
-    released(rows)
-    # equal sequences begin with equal pieces, so h1 is part of their key
-    first = seen.where("g is not null").groupBy("h1", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    long = seen.drop("first_doc").join(first, ["h1", "g"]).withColumn("n_words", F.lit(RUN_WORDS))
-    cols = ["doc_id", "start", "n_words", "first_doc"]
-    return _runs(seen.select(cols).unionByName(long.select(cols)), run_words)
+    """doc_id, start, n_words, first_doc, removed (an earlier document holds all of its words) for stretches of repeated pieces.
+
+    Pieces are shuffled once, by hash: sequences that are equal begin with equal pieces, so they meet there too. Pieces
+    that are very common stay where they are; the documents that hold them first and last are sent to them.
+    """
+    rows = stored(docs.mapInArrow(_pieces, "doc_id long, start int, n_words int, h1 long, g long"), "pieces")
+    piece, long = ["h1"], ["h1", "g"]
+    ends = lambda *names: [f("doc_id").alias(n) for f, n in zip((F.min, F.max), names, strict=True)]
+    over = lambda keys, *names: [f("doc_id").over(Window.partitionBy(*keys)).alias(n) for f, n in zip((F.min, F.max), names, strict=True)]
+    many = heavy(rows, piece, *ends("first_doc", "last_doc"))
+    light = rows.join(F.broadcast(many.select(*piece)), piece, "left_anti").select("*", *over(piece, "first_doc", "last_doc")).where("first_doc < last_doc")
+    light = light.select("*", *over(long, "long_first", "long_last"))
+    common = stored(rows.join(F.broadcast(many.where("first_doc < last_doc")), piece), "common")
+    whole = common.where("g is not null")
+    many_long = heavy(whole, long, *ends("long_first", "long_last"))
+    found = light.unionByName(whole.join(F.broadcast(many_long.select(*long)), long, "left_anti").select("*", *over(long, "long_first", "long_last")))
+    found = found.unionByName(whole.join(F.broadcast(many_long), long)).unionByName(common.where("g is null"), allowMissingColumns=True)
+    # a repeated sequence covers its piece; where the document keeps the one and not the other, both count
+    repeated = F.coalesce(F.col("g").isNotNull() & (F.col("long_first") < F.col("long_last")), F.lit(False))
+    one = F.struct("n_words", "first_doc")
+    both = F.struct(F.lit(RUN_WORDS).alias("n_words"), "first_doc"), F.struct(F.lit(RUN_WORDS).alias("n_words"), F.col("long_first").alias("first_doc"))
+    same = (F.col("first_doc") < F.col("doc_id")) == (F.col("long_first") < F.col("doc_id"))
+    spans = F.when(~repeated, F.array(one)).when(same, F.array(both[0])).otherwise(F.array(one, both[1]))
+    seen = stored(found.select("doc_id", "start", F.inline(spans)), "seen")
+    released(rows, common, many, many_long)
+    return _runs(seen, run_words)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
