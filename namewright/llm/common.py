@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 #: Rows of a key that any task can hold; as a share of all rows, what makes a key heavy in a large table; cells in which rows are counted.
 HEAVY_ROWS, HEAVY_SHARE, HEAVY_CELLS = 1000, 8192, 65536
+#: Bits that tell which ids are there (a multiple of 32,768, the bits of one bitmap).
+MARKS = 1 << 26
 _local: dict[str, str] = {}
 
 
@@ -78,6 +80,18 @@ def heavy(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
     return out
 
 
+def likely(rows: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
+    """rows without most of those whose column isn't among ids.name: an inner join with distinct ids after it shuffles fewer rows (a left_semi join would be moved below it).
+
+    One bit of MARKS tells whether an id of a hash is there. The bits are sent to every task: 8 MB, however many ids there
+    are. With very many (tens of millions) most bits are set, and rows pass that the join has to shuffle.
+    """
+    block, at = lambda c: F.shiftright(F.pmod(F.xxhash64(c), F.lit(MARKS)), 15), lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 15))
+    marks = ids.select(block(name).alias("__block"), at(name).alias("__at")).repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg("__at").alias("__marks"))
+    met = rows.withColumns({"__block": block(column), "__at": at(column).cast("int")}).join(F.broadcast(marks), "__block")
+    return met.where("getbit(cast(conv(hex(substring(__marks, shiftright(__at, 3) + 1, 1)), 16, 10) as int), __at % 8) = 1").select(*rows.columns)
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node that its edges reach) for every node of edges (hi, lo: long).
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, heavy, ready, released, shingle_ids, stored
+from .common import components, heavy, likely, ready, released, shingle_ids, stored
 
 #: Sketch parameters: base and rate of the register scale, largest register value less one.
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -224,8 +224,8 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     live = stored(shared.unionByName(tokens.join(F.broadcast(many), "bucket")), "live")
     released(tokens, many)
     ids = stored(live.select("node").distinct(), "ids")  # written, so that its size is known to the joins
-    sides = stored(first.join(ids, "node", "left_semi").select("node", "n", "sketch"), "sides")
-    texts = stored(docs.join(ids, F.col("id") == F.col("node"), "left_semi"), "texts")
+    sides = stored(likely(first, "node", ids, "node").join(ids, "node").select("node", "n", "sketch"), "sides")
+    texts = stored(likely(docs, "id", ids, "node").join(ids, F.col("id") == F.col("node")).select("id", "text"), "texts")  # ids are distinct; Spark would move a semi join below the filter
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""

@@ -106,6 +106,39 @@ def test_prefix_pairs_hold_every_link(spark):
     assert want <= {tuple(p) for p in found.collect()} and want
 
 
+def test_likely_loses_no_id(spark, monkeypatch):
+    from namewright.llm import common
+
+    rows, ids = spark.range(-3000, 3000), spark.range(-3000, 3000, 7).withColumnRenamed("id", "node")
+    assert {r.id for r in common.likely(rows, "id", ids, "node").collect()} == set(range(-3000, 3000, 7))
+    monkeypatch.setattr(common, "MARKS", 1 << 15)
+    assert set(range(-3000, 3000, 7)) <= {r.id for r in common.likely(rows, "id", ids, "node").collect()}
+    assert common.likely(rows, "id", ids.limit(0), "node").count() == 0
+
+
+@pytest.mark.parametrize("limits", [(1000, 8192), (1, 10**9)])
+def test_passages_with_and_without_heavy_keys(spark, monkeypatch, limits):
+    """One passage in a third of all documents and others in two: the same rows whichever way keys are treated."""
+    from namewright.llm import common, substring_dedup
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", limits[0])
+    monkeypatch.setattr(common, "HEAVY_SHARE", limits[1])
+    r = np.random.default_rng(8)
+    run = lambda n: " ".join(f"v{k}" for k in r.integers(0, 10**9, n))
+    often, some = run(60), [run(60) for _ in range(10)]
+    rows = [(i, f"{run(30)} {often if i % 3 == 0 else some[i % 10] if i > 60 else ''} {run(30)}") for i in range(90)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {x.doc_id for x in got if x.removed}
+    seen, want = set(), set()
+    for i, _ in rows:
+        held = often if i % 3 == 0 else some[i % 10] if i > 60 else None
+        if held in seen:
+            want.add(i)
+        elif held:
+            seen.add(held)
+    assert removed == want and all(25 <= x.n_words <= 60 for x in got if x.removed)
+
+
 def test_sentencepiece_round_trip(spark):
     rows = encode_decode(table(spark, SF, "documents")).collect()
     assert all(r.exact for r in rows) and len(rows) == len(read("documents"))
