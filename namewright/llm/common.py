@@ -5,8 +5,11 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,8 @@ BATCH_ROWS = 500
 HEAVY_ROWS, HEAVY_SHARE, HEAVY_CELLS = 1000, 8192, 65536
 #: Bits that tell which ids are there (a multiple of 32,768, the bits of one bitmap).
 MARKS = 1 << 26
+#: Bytes of text whose words are hashed at once, and in one sum, so that what this takes stays in a processor's cache.
+AT_ONCE, BLOCK = 1 << 18, 1 << 14
 _local: dict[str, str] = {}
 
 
@@ -147,3 +152,88 @@ def shingle_ids(text: str | None, k: int) -> np.ndarray:
         out *= _MUL
         out ^= out >> _SH
     return np.unique(out)
+
+
+#: Which bytes are white space; a number for each byte, the same for A-Z and a-z; what numbers are multiplied by from one place to the next.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.default_rng(20_250_207).integers(0, 2**64, 256, dtype=np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+PLACE = 0xD1342543DE82EF95
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PLACE to the powers 0 to n - 1, and their inverses, modulo 2^64."""
+    out = np.repeat(np.array([[PLACE], [pow(PLACE, -1, 1 << 64)]], np.uint64), max(n, 1), axis=1)
+    out[:, 0] = 1
+    return tuple(np.cumprod(out, axis=1, dtype=np.uint64))
+
+
+def sequences(x: np.ndarray, start: np.ndarray, end: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hashes of the sequences x[start:end], wherever they stand: sums over x weighted by place, put back to the first place. known: powers(len(x)) or more."""
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * known[0][: len(x)], out=total[1:])
+    return (total[end] - total[start]) * known[1][np.minimum(start, len(x) - 1)]
+
+
+def grouped(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in groups of AT_ONCE bytes or one row: first row's number, the bytes, where its rows begin (and the end), starts and ends of the words of words_of. Nulls are empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if not len(texts):
+        return
+    edge = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(edge, edge[row] + AT_ONCE, "right")) - 1)
+        x, cut = data[edge[row] : edge[last]], edge[row : last + 1] - edge[row]
+        space = _SPACE[x]
+        first, final = ~space, ~space
+        first[1:] &= space[:-1]
+        final[:-1] &= space[1:]
+        full = cut[:-1] < cut[1:]  # words end where rows do
+        first[cut[:-1][full]] = ~space[cut[:-1][full]]
+        final[cut[1:][full] - 1] = ~space[cut[1:][full] - 1]
+        yield row, x, cut, np.flatnonzero(first), np.flatnonzero(final) + 1
+        row = last
+
+
+def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each group of rows: the first row's number, 64-bit hashes of the words of words_of, the number of words before each row (and of all)."""
+    known = powers(BLOCK)
+    for row, x, cut, start, end in grouped(texts):
+        h = np.empty(len(start), np.uint64)
+        at = 0
+        while at < len(start):
+            upto = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK, "right")))
+            lo, hi = start[at], end[upto - 1]
+            h[at:upto] = sequences(_BYTE[x[lo:hi]], start[at:upto] - lo, end[at:upto] - lo, known if hi - lo <= BLOCK else powers(hi - lo))
+            at = upto
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        yield row, h, np.searchsorted(start, cut)
+
+
+def shingle_sets(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_ids for many rows of hashed words at once, from hashed() instead: ids of one row after the other, how many come before each row (and all)."""
+    n = np.diff(bounds)
+    size = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    at = np.concatenate([[0], np.cumsum(size)])
+    ids, whole, whence = np.empty(at[-1], np.uint64), np.ones(at[-1], bool), np.ones(len(h), bool)
+    mixed = lambda x: (y := (x ^ (x >> _SH)) * _MUL) ^ (y >> _SH)
+    out = h.copy()
+    for j in range(1, k):
+        few = np.flatnonzero(n == j)
+        ids[at[few]] = mixed(out[bounds[few]])
+        whole[at[few]] = False
+        whence[bounds[1:][n >= j] - j] = False
+        out ^= out >> _SH
+        out *= _MUL
+        out[:-j] += h[j:]
+    ids[whole] = mixed(out[whence])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        ids[a:b].sort()
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    new[at[:-1][size > 0]] = True
+    return ids[new], np.concatenate([[0], np.cumsum(new)])[at]

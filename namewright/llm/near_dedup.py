@@ -25,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, heavy, likely, ready, released, shingle_ids, stored
+from .common import components, hashed, heavy, likely, ready, released, shingle_ids, shingle_sets, stored
 
 #: Sketch parameters: base and rate of the register scale, largest register value less one.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is ruled out if its likelihood at the threshold is below e^-18 of its best (6 deviations), so that far fewer pairs at the threshold are lost than by the bands.
 RULED_OUT = 18.0
+#: Ids whose registers are computed at once: few enough for a processor's cache.
+STEP = 16384
 #: Nodes of a bucket that emits all its pairs; rounds of leaders for larger ones.
 SMALL, LEADER_ROUNDS = 6, 2
 #: Cells of the table of shingle counts (8 bytes each, so it can be sent to every task); rows of a shingle that one task joins.
@@ -49,20 +52,31 @@ def _family(m: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 2**32, m, dtype=np.uint32) | np.uint32(1), r.integers(0, 2**32, m, dtype=np.uint32)
 
 
-def registers(ids: np.ndarray, m: int) -> np.ndarray:
-    """m SetSketch registers (uint16) of a set of 64-bit ids."""
+def registers(ids: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
+    """m SetSketch registers (uint16) of each set of 64-bit ids, where ids holds one set after the other; bounds: how many ids come before each set, and all. Of an empty set: 0."""
     mul, xor = _family(m)
-    low = np.full(m, 2**32 - 1, np.uint32)
+    full = np.flatnonzero(np.diff(bounds))
+    begin = bounds[full]
+    low = np.full((m, len(full)), 2**32 - 1, np.uint32)
     x = (ids >> np.uint64(32)).astype(np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(x), 2048):
-            h = (x[None, at : at + 2048] ^ xor[:, None]) * mul[:, None]
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x2C1B3C6D)
-            np.minimum(low, h.min(axis=1), out=low)
+    room = np.empty((2, STEP), np.uint32)
+    for at in range(0, len(x), STEP):
+        part = x[at : at + STEP]
+        h, g = room[:, : len(part)]
+        first, last = np.searchsorted(begin, at, "right") - 1, np.searchsorted(begin, at + len(part))
+        where = np.maximum(begin[first:last] - at, 0)
+        for i in range(m):
+            np.bitwise_xor(part, xor[i], out=h)
+            np.multiply(h, mul[i], out=h)
+            np.right_shift(h, np.uint32(15), out=g)
+            np.bitwise_xor(h, g, out=h)
+            np.multiply(h, np.uint32(0x2C1B3C6D), out=h)
+            np.minimum(low[i, first:last], np.minimum.reduceat(h, where), out=low[i, first:last])
     u = (low.astype(np.float64) + 0.5) / 2**32
     k = np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(BASE))
-    return np.clip(k, 0, TOP + 1).astype(np.uint16)
+    out = np.zeros((len(bounds) - 1, m), np.uint16)
+    out[full] = np.clip(k, 0, TOP + 1).astype(np.uint16).T
+    return out
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -90,15 +104,14 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
 
 
 def _sketches(k: int, m: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, key, regs = [], [], []
-            for text in pdf["text"]:
-                ids = shingle_ids(text, k)
-                n.append(len(ids))
-                key.append(xxhash.xxh3_128_digest(ids.tobytes()) if len(ids) else None)
-                regs.append(registers(ids, m).tobytes() if len(ids) else None)
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key, "sketch": regs})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, h, words in hashed(batch.column("text")):
+                ids, bounds = shingle_sets(h, words, k)
+                n, at = np.diff(bounds), bounds.tolist()
+                key = [xxhash.xxh3_128_digest(ids[a:b]) if a < b else None for a, b in zip(at[:-1], at[1:], strict=True)]
+                regs = [x.tobytes() if some else None for x, some in zip(registers(ids, bounds, m), n, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(n)), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n", "key", "sketch"])
 
     return run
 
@@ -108,7 +121,12 @@ def _buckets(bands: int, rows: int):
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys = np.array([[xxhash.xxh3_64_intdigest(s[2 * b * rows : 2 * (b + 1) * rows], seed=b) for b in range(bands)] for s in pdf["sketch"]], np.uint64)
+            regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), bands, rows)
+            keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(pdf), 1))
+            for j in range(rows):
+                keys ^= regs[:, :, j]
+                keys *= np.uint64(0xD6E8FEB86659FD93)
+                keys ^= keys >> np.uint64(32)
             yield pd.DataFrame({"bucket": keys.reshape(-1).view(np.int64), "node": np.repeat(pdf["node"].to_numpy(), bands)})
 
     return run
@@ -214,7 +232,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    all_docs = stored(docs.mapInPandas(_sketches(k, bands * rows), "id long, n long, key binary, sketch binary"), "sketches")
+    all_docs = stored(docs.mapInArrow(_sketches(k, bands * rows), "id long, n long, key binary, sketch binary"), "sketches")
     some = all_docs.where("id is not null and key is not null")
     first = stored(some.groupBy("key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     tokens = stored(first.select("node", "sketch").mapInPandas(_buckets(bands, rows), "bucket long, node long"), "tokens")

@@ -28,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import heavy, ready, released, stored
+from .common import AT_ONCE, grouped, hashed, heavy, powers, ready, released, sequences, stored
 from .near_dedup import near_components
 
 #: Words of a paragraph, and of a passage's repeated pieces; anchor window; words that a run may skip.
@@ -40,69 +39,59 @@ MIN_WORDS, RUN_WORDS, WINDOW, GAP = 50, 25, 20, 12
 BANDS, ROWS = 20, 4
 
 
-def paragraphs(text: str, least: int) -> list[tuple[int, int, str]]:
-    """(first word's number in the text, words, paragraph) of lines of at least so many words."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        n = len(line.encode("utf-8", "surrogatepass").split())
-        if n >= least:
-            out.append((at, n, line))
-        at += n
-    return out
-
-
-def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and hash of the pieces between anchors that tile a text's words; hash of RUN_WORDS words from each start, and whether the text has so many."""
-    n = len(words)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    with np.errstate(over="ignore"):
-        cuts = np.empty(0, np.int64)
-        if n > window + 2:
-            tri = (h[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[2:] * np.uint64(0x165667B19E3779F9))
-            tri ^= tri >> np.uint64(32)
-            tri *= np.uint64(0xD6E8FEB86659FD93)
-            view = np.lib.stride_tricks.sliding_window_view(tri, window)
-            cuts = np.unique(np.arange(len(view)) + view.argmin(axis=1))
-        start = np.unique(np.concatenate([[0], cuts])).astype(np.int64)
-        length = np.diff(np.append(start, n))
-        # hashes of word sequences by position-weighted sums within each piece; no piece alone is a run, so 64 bits do
-        k = np.arange(n, dtype=np.uint64) - np.repeat(start, length).astype(np.uint64)
-        x = (h ^ (k * np.uint64(0x2545F4914F6CDD1D))) * np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x2545F4914F6CDD1D)
-        x ^= x >> np.uint64(32)
-        key = (np.add.reduceat(x, start) + length.astype(np.uint64)).view(np.int64)
-        whole = start + RUN_WORDS <= n
-        x = (h[np.minimum(start[:, None] + np.arange(RUN_WORDS), n - 1)] ^ (np.arange(RUN_WORDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))) * np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x9FB21C651E98DF25)
-        x ^= x >> np.uint64(32)
-    return start, length, key, x.sum(axis=1, dtype=np.uint64).view(np.int64), whole
+def pieces(h: np.ndarray, bounds: np.ndarray, known: tuple[np.ndarray, np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Text, start, length and hash of the pieces between anchors that tile texts of hashed words (bounds: words before each text, and all); hash of RUN_WORDS words from each start, and whether the text has so many."""
+    n, here = np.diff(bounds), np.arange(len(h))
+    cut = np.zeros(len(h), bool)
+    cut[bounds[:-1][n > 0]] = True
+    if len(h) > window + 2:
+        low = (h[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[2:] * np.uint64(0x165667B19E3779F9))
+        low ^= low >> np.uint64(32)
+        low *= np.uint64(0xD6E8FEB86659FD93)
+        at, width = here[:-2], 1  # the first smallest of width hashes from each place on, and its place
+        while width < window:
+            step = min(width, window - width)
+            less = low[step:] < low[:-step]
+            low, at = np.where(less, low[step:], low[:-step]), np.where(less, at[step:], at[:-step])
+            width += step
+        last = np.repeat(np.where(n > window + 2, bounds[1:], 0), n)[: len(at)]
+        cut[at[here[: len(at)] + window + 2 <= last]] = True
+    start = np.flatnonzero(cut)
+    length = np.diff(np.append(start, len(h)))
+    row = np.searchsorted(bounds, start, "right") - 1
+    # no piece alone is a run, so 64 bits do
+    key = sequences(h, start, start + length, known) + length.astype(np.uint64)
+    long = sequences(h, start, np.minimum(start + RUN_WORDS, len(h)), known)
+    return row, start - bounds[row], length, key.view(np.int64), long.view(np.int64), start + RUN_WORDS <= bounds[row + 1]
 
 
 def _paragraphs(least: int):
+    """Lines of at least so many words: the first word's number in the text, words, line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *p) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for p in paragraphs(t, least)]
-            for at in range(0, len(rows), 2000):
-                part = rows[at : at + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "start", "n_words", "text"])
+            for row, x, cut, start, _ in grouped(batch.column("text")):
+                breaks = np.flatnonzero(x == ord("\n"))
+                begin, end = np.sort(np.concatenate([cut[:-1], breaks + 1])), np.sort(np.concatenate([breaks, cut[1:]]))
+                before = np.searchsorted(start, begin)
+                n = np.searchsorted(start, end) - before
+                if not len(some := np.flatnonzero(n >= max(least, 1))):
+                    continue
+                begin, end, before, n = begin[some], end[some], before[some], n[some]
+                of = np.searchsorted(cut, begin, "right") - 1
+                lines = pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)), pa.py_buffer(b"".join([x[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + of)), pa.array(before - np.searchsorted(start, cut[of])), pa.array(n), lines], names=["doc_id", "start", "n_words", "text"])
 
     return run
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = powers(AT_ONCE // 2)
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-            if words:
-                found = pieces(words)
-                for c, x in zip(cols, (np.full(len(found[0]), i, np.int64), *found), strict=True):
-                    c.append(x)
-        if cols[0]:
-            flat = [np.concatenate(c) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3]), pa.array(flat[4], mask=~flat[5])], names=["doc_id", "start", "n_words", "h1", "g"])
+        for row, h, bounds in hashed(batch.column("text")):
+            if len(h):
+                of, start, length, key, long, whole = pieces(h, bounds, known if len(h) <= len(known[0]) else powers(len(h)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + of)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(key), pa.array(long, mask=~whole)], names=["doc_id", "start", "n_words", "h1", "g"])
 
 
 def similar_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5) -> DataFrame:

@@ -334,3 +334,106 @@ def test_odd_tables(spark):
     assert classify(none, labels).collect() == []
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert near_vectors(empty).collect() == [] and top_k(empty).collect() == []
+
+
+def texts_of(n, least, most, seed=21):
+    r = np.random.default_rng(seed)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), n)) for n in r.integers(1, 12, 20_000)]
+    return [" ".join(words[k] for k in r.integers(0, len(words), r.integers(least, most))) for _ in range(n)]
+
+
+def odd_batch(name):
+    import pyarrow as pa
+
+    texts = ["", "one", None, " \t", "One two\n\n", " a b c d\n" * 30, "\n\nx " + "y " * 60 + "\n", "q" * 40_000 + " z", "É é  x", " a\0b \x0bc\x1cd", "A b A", " ".join(f"w{k % 97}" for k in range(50_000)), " ".join("a" * 22), " ".join("a" * 23), *texts_of(60, 1, 300), None, ""]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=[name, "text"]).slice(1)
+
+
+def test_words_hashed_in_batches_equal_words_one_by_one():
+    from namewright.llm import common
+
+    batch = odd_batch("id")
+    texts = batch.column("text").to_pylist()
+    seen, rows = {}, 0
+    for row, h, bounds in common.hashed(batch.column("text")):
+        sets, at = common.shingle_sets(h, bounds, 3)
+        for i in range(len(bounds) - 1):
+            words = common.words_of(texts[row + i])
+            assert len(words) == bounds[i + 1] - bounds[i]
+            assert all(seen.setdefault(w, x) == x for w, x in zip(words, h[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+            own = sets[at[i] : at[i + 1]]
+            assert len(own) == len(shingles(texts[row + i], 3)) and (own[1:] > own[:-1]).all()
+        assert row == rows
+        rows += len(bounds) - 1
+    assert rows == len(texts) and len(set(seen.values())) == len(seen) > 1000
+
+
+def test_registers_of_many_sets_equal_those_of_each():
+    sets = [np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64) for n in (0, 1, 3, 0, 90, 40_000, 7, 0)]
+    got = near_dedup_module.registers(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), 20)
+    mul, xor = near_dedup_module._family(20)
+    for x, have in zip(sets, got, strict=True):
+        h = ((x >> np.uint64(32)).astype(np.uint32)[None] ^ xor[:, None]) * mul[:, None]
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        u = (h.min(axis=1, initial=2**32 - 1).astype(float) + 0.5) / 2**32
+        want = np.clip(np.floor(1 - np.log(-np.log1p(-u) / near_dedup_module.RATE) / np.log(near_dedup_module.BASE)), 0, near_dedup_module.TOP + 1)
+        assert (have == (want if len(x) else 0)).all()
+
+
+def test_pieces_and_paragraphs_equal_plain_versions():
+    import pyarrow as pa
+
+    from namewright.llm import common, substring_dedup
+
+    batch = odd_batch("doc_id")
+    want, cuts, w = [], [], substring_dedup.WINDOW
+    word = {}
+    for row, h, bounds in common.hashed(batch.column("text")):
+        for i in range(len(bounds) - 1):
+            word |= zip(common.words_of(batch.column("text")[row + i].as_py()), h[bounds[i] : bounds[i + 1]], strict=True)
+    for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        at = 0
+        for line in (t or "").split("\n"):
+            n = len(common.words_of(line))
+            want += [(d, at, n, line)] * (n >= 50)
+            at += n
+        words = common.words_of(t)
+        if not words:
+            continue
+        h, start = np.array([word[x] for x in words], np.uint64), {0}
+        if len(h) > w + 2:
+            x = (h[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[2:] * np.uint64(0x165667B19E3779F9))
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            start |= {i + int(x[i : i + w].argmin()) for i in range(len(x) - w + 1)}
+        start = sorted(start)
+        cuts += [(d, a, b - a, tuple(words[a:b]), tuple(words[a : a + 25]) if a + 25 <= len(words) else None) for a, b in zip(start, [*start[1:], len(words)], strict=True)]
+    assert [tuple(x.values()) for b in substring_dedup._paragraphs(50)(iter([batch])) for x in b.to_pylist()] == want
+    got = pa.Table.from_batches(list(substring_dedup._pieces(iter([batch])))).to_pylist()
+    assert [(x["doc_id"], x["start"], x["n_words"]) for x in got] == [c[:3] for c in cuts]
+    for name, k in (("h1", 3), ("g", 4)):
+        pairs = {(x[name], c[k]) for x, c in zip(got, cuts, strict=True)}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and all((a is None) == (b is None) for a, b in pairs)
+
+
+def test_sketches_and_pieces_cost_little_for_each_word():
+    """In times of splitting the texts into words: the functions that hashed word by word and set by set took 21 and 17, these 2.3 and 2.0 where they were measured."""
+    import time
+
+    import pyarrow as pa
+
+    from namewright.llm import substring_dedup
+
+    texts = texts_of(2000, 60, 140)
+    batch = lambda name: iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=[name, "text"])])
+
+    def took(f):
+        each = []
+        for _ in range(4):
+            began = time.thread_time()
+            f()
+            each.append(time.thread_time() - began)
+        return min(each)
+
+    split = took(lambda: [t.encode().lower().split() for t in texts])
+    assert took(lambda: list(near_dedup_module._sketches(5, 80)(batch("id")))) < 12 * split
+    assert took(lambda: list(substring_dedup._pieces(batch("doc_id")))) < 4 * split
